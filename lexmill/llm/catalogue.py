@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import lookalike
+from lexmill.llm import lookalike, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,18 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item's sentences in the consistent form."""
     forms = lookalike.item_forms(table(spark, sf_dir, "items"))
     return forms.select("id", "field", "form")
+
+
+# ---- 8: long exact spans shared between records
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a stretch of 160 or more characters with another document."""
+    return spans.shared_records(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document, how many of its characters also stand elsewhere."""
+    return spans.shared_amounts(table(spark, sf_dir, "documents"))
