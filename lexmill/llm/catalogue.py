@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import lookalike, spans
+from lexmill.llm import leak, lookalike, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document, how many of its characters also stand elsewhere."""
     return spans.shared_amounts(table(spark, sf_dir, "documents"))
+
+
+# ---- 5: evaluation texts leaking into training text
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain eight words in a row of a test sentence, with the test pair."""
+    return leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "en_sts_test"))
+
+
+@query
+def p5_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked test sentences by document: whole, in part or reworded."""
+    return leak.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "en_sts_test"))
