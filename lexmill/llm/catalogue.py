@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import leak, lookalike, spans
+from lexmill.llm import leak, lookalike, mixing, packing, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked test sentences by document: whole, in part or reworded."""
     return leak.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "en_sts_test"))
+
+
+# ---- 6: filling sequences with texts
+
+
+@query
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's sequence for each input length."""
+    return packing.packed_sequences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "seq_limits"))
+
+
+@query
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the sequences of each input length are."""
+    return packing.fill_report(p6_packed(spark, sf_dir), table(spark, sf_dir, "seq_limits"))
+
+
+# ---- 7: mixing sources to target weights
+
+
+@query
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus in training order."""
+    return mixing.curriculum(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.share_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
