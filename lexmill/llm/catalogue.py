@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import leak, lookalike, mixing, packing, spans
+from lexmill.llm import garble, leak, lookalike, mixing, packing, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,20 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     return mixing.share_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+# ---- 1: garbled text from a wrong character encoding
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose sentence_a is garbled in whole or in part; the clean corpus is sentence_b."""
+    items = table(spark, sf_dir, "items")
+    return garble.garbled_records(items, "id", "sentence_a", items.select(F.col("sentence_b").alias("text")))
+
+
+@query
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled sentences as they were written, as far as that is known."""
+    items = table(spark, sf_dir, "items")
+    return garble.restored_records(items, "id", "sentence_a", items.select(F.col("sentence_b").alias("text")))
