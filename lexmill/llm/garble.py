@@ -217,7 +217,8 @@ def garbled_units(texts: DataFrame, clean_texts: DataFrame) -> tuple[DataFrame,
     units = materialize(_units(_healed(texts), ["id"], _PLAIN_SPACE).distinct().join(clean, ["kind", "unit"], "left_anti"), "units")
     odd = units.select("kind", "unit").distinct()
     table = garbled_table(clean)
-    hits = odd.join(table, (odd.kind == table.kind) & (odd.unit == table.form)).groupBy(odd.kind, odd.unit)
+    # Spark takes the table to be as small as the words it is made from; without the hint it would broadcast it
+    hits = odd.join(table.hint("merge"), (odd.kind == table.kind) & (odd.unit == table.form)).groupBy(odd.kind, odd.unit)
     hits = hits.agg(F.max(F.struct("n", "original", "chain")).alias("b")).select("kind", "unit", "b.original", "b.chain")
     hits = materialize(hits, "hits")
 
@@ -263,7 +264,7 @@ def restored_records(df: DataFrame, id_col: str, text_col: str, clean_texts: Dat
     # words too short to prove anything count in records that have a longer word of the same chain
     short = strong.select("id", "chain").distinct().join(units.join(found, ["kind", "unit"], "left_anti"), "id")
     weak = garbled_table(clean, weak=True).groupBy("kind", "form", "chain").agg(F.max(F.struct("n", "original"))["original"].alias("original"))
-    short = short.join(weak.withColumnRenamed("form", "unit"), ["kind", "unit", "chain"])
+    short = short.join(weak.withColumnRenamed("form", "unit").hint("merge"), ["kind", "unit", "chain"])
     pairs = strong.unionByName(short).groupBy("id").agg(F.collect_set(F.struct("kind", "unit", "original")).alias("pairs"))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
