@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import garble, leak, lookalike, mixing, packing, spans
+from lexmill.llm import consensus, garble, leak, lookalike, mixing, packing, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,30 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled sentences as they were written, as far as that is known."""
     items = table(spark, sf_dir, "items")
     return garble.restored_records(items, "id", "sentence_a", items.select(F.col("sentence_b").alias("text")))
+
+
+# ---- 2: consensus from several annotators' labels
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus label of each item with labels of at least three annotators."""
+    return consensus.found(table(spark, sf_dir, "annotations"))
+
+
+@query
+def p2_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus with its posterior probability and the careful annotators' agreement."""
+    return consensus.item_report(table(spark, sf_dir, "annotations"))
+
+
+@query
+def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each annotator's reliability estimated from the labels, with a posterior interval."""
+    return consensus.annotator_report(table(spark, sf_dir, "annotations"), table(spark, sf_dir, "annotators"))
+
+
+@query
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of all annotators and of the careful ones."""
+    return consensus.agreement_report(table(spark, sf_dir, "annotations"))
