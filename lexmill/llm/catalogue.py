@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import consensus, garble, leak, lookalike, mixing, packing, spans
+from lexmill.llm import consensus, garble, leak, lookalike, mixing, neardup, packing, spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,23 @@ def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Krippendorff's alpha of all annotators and of the careful ones."""
     return consensus.agreement_report(table(spark, sf_dir, "annotations"))
+
+
+# ---- 3: near-duplicate records with small edits
+
+
+def _word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "items")
+    return neardup.item_word_sets(p1_found(spark, sf_dir), lookalike.item_forms(items))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose words are similar to at least 0.7."""
+    return neardup.similar_pairs(_word_sets(spark, sf_dir))
+
+
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's class of equal word sets, its group of linked items, and its number of links."""
+    return neardup.groups(_word_sets(spark, sf_dir))
