@@ -27,6 +27,12 @@ WORD_CHARS = r"\p{L}\p{M}\p{N}\p{Pc}"
 PRETOKEN = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}{WS[1:-1]}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda a plain expression would be computed for
+    every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _normal_form(form: str) -> Callable[[Column | str], Column]:
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
@@ -121,6 +127,10 @@ def pretokens(c: Column | str) -> Column:
 
 def shingles(c: Column | str, k: int = 5) -> Column:
     """Distinct runs of k words; a shorter text is one run, an empty one none."""
-    w = words(c)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+        none = F.array().cast("array<string>")
+        return F.when(F.size(w) == 0, none).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return let(words(c), of)

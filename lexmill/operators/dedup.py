@@ -6,6 +6,10 @@ that has it.  That is also what a sequential scan keeps, because equal texts sha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,10 +72,32 @@ def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _self_pairs(prefix, ["e"], fits & (jaccard >= threshold - 1e-9), jaccard.alias("jaccard"))
 
 
-def minhash(sets: DataFrame, permutations: int = 128) -> DataFrame:
-    """(id, sig): MinHash signature by seeded hashes of the shingle hashes."""
-    mins = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda seed: F.array_min(F.transform("s", lambda h: F.xxhash64(h, seed))))
-    return sets.filter(F.size("s") > 0).select("id", mins.alias("sig"))
+def minhash_bands(sets: DataFrame, bands: int, rows: int, seed: int = 1) -> DataFrame:
+    """(id, band): hashes of the bands of each set's MinHash signature, computed for a whole Arrow batch at once."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**64, bands * rows, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 2**64, bands * rows, dtype=np.uint64)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            hashes = [np.asarray(s) for s in pdf["s"]]
+            lengths = np.array([len(h) for h in hashes])
+            flat = np.concatenate(hashes).view(np.uint64)
+            starts = np.cumsum(lengths) - lengths
+            key = np.empty((len(pdf), bands), np.uint64)
+            for i in range(bands):
+                k = np.full(len(pdf), i + 1, np.uint64)
+                for j in range(i * rows, (i + 1) * rows):
+                    x = flat * a[j] + b[j]
+                    low = np.minimum.reduceat(x ^ (x >> np.uint64(29)), starts)
+                    k = (k ^ (low >> np.uint64(3))) * np.uint64(0xFF51AFD7ED558CCD)
+                    k ^= k >> np.uint64(32)
+                key[:, i] = k
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), bands), "band": key.ravel().view(np.int64)})
+
+    return sets.filter(F.size("s") > 0).select("id", "s").mapInPandas(make, f"id {dict(sets.dtypes)['id']}, band long")
 
 
 def band_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, batch: int | None = None) -> DataFrame:
@@ -79,10 +105,8 @@ def band_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``batch``, only texts of the same run of so many positions collide.
     """
-    b, r = BANDS[threshold]
-    signed = minhash(shingle_sets(distinct_texts(docs, id_col, text_col), k))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.array_join(F.slice("sig", i * r + 1, r), ",")))
-    rows = signed.select("id", F.explode(bands).alias("band"), (F.floor(F.col("id") / batch) if batch else F.lit(0)).alias("batch"))
+    rows = minhash_bands(shingle_sets(distinct_texts(docs, id_col, text_col), k), *BANDS[threshold])
+    rows = rows.withColumn("batch", F.floor(F.col("id") / batch) if batch else F.lit(0))
     return _self_pairs(rows, ["band", "batch"], F.lit(True))
 
 

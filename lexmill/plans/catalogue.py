@@ -14,7 +14,7 @@ from lexmill.functions import text as tx
 from lexmill.functions import vector as vx
 from lexmill.operators import annotate, corpus, dedup, pairs, plugins, retrieval, sample, subword, tfidf
 from lexmill.plans import pipeline, sql
-from lexmill.session import materialize, scratch_dir
+from lexmill.session import materialize, scratch_dir, spread
 from lexmill.sources import files
 from lexmill.streaming import annotations as stream
 
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +436,7 @@ def prompt_format(spark, d):
 @query(f"SELECT test_id, least(len(list_filter(regexp_split_to_array(sentence_a, '{sql.WS}+'), lambda x: x <> '')), 32)::INT - 1 AS last FROM en_sts_test")
 def last_token_index(spark, d):
     t = table(spark, d, "en_sts_test")
-    mask = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (i <= tx.word_count("sentence_a")).cast("int"))
+    mask = tx.let(tx.word_count("sentence_a"), lambda n: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (i <= n).cast("int")))
     return vx.last_token_index(t.select("test_id", mask.alias("mask"))).select("test_id", "last")
 
 

@@ -106,3 +106,12 @@ def release(*tables: DataFrame) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose size Spark can't foresee."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, if the scan has fewer partitions than the session has cores (a few small files).
+
+    Larger inputs have enough splits of their own and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
