@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import consensus, garble, leak, lookalike, mixing, neardup, packing, spans
+from lexmill.session import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,8 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "items") else df
 
 
 # ---- 4: visually identical text

@@ -10,7 +10,7 @@ Guards: a form that the clean corpus holds, or that only looks different to a ma
 :mod:`lookalike`), is no garbling; a form of one character never is, so quoted letters such as an A with
 tilde are sound; chains between one-byte encodings count for whole words of some length only.
 
-Defined cases: null texts are sound and stay null; empty texts are sound; repeated rows give one row; other
+Defined cases: null texts are sound and rows without an id are left out; empty texts are sound; repeated rows give one row; other
 columns are ignored; an empty table gives no rows; words of any length are looked up whole.  With an empty
 clean corpus only the backward check and U+FFFD are left.
 """
@@ -233,7 +233,7 @@ def garbled_units(texts: DataFrame, clean_texts: DataFrame) -> tuple[DataFrame,
 
 def garbled_records(df: DataFrame, id_col: str, text_col: str, clean_texts: DataFrame) -> DataFrame:
     """(id_col): records whose text is garbled in whole or in part.  clean_texts(text) is the clean corpus."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     units, found, _, _ = garbled_units(texts, clean_texts)
     lost = texts.filter(F.col("text").contains(LOST)).select("id")
     return units.join(found, ["kind", "unit"], "left_semi").select("id").unionByName(lost).distinct().withColumnRenamed("id", id_col)
@@ -258,7 +258,7 @@ def restored_records(df: DataFrame, id_col: str, text_col: str, clean_texts: Dat
 
     ``complete`` says that no garbled unit and no lost character is left.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").distinct()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").distinct()
     units, found, clean, alphabet = garbled_units(texts, clean_texts)
     strong = materialize(units.join(found, ["kind", "unit"]), "strong")
     # words too short to prove anything count in records that have a longer word of the same chain

@@ -78,7 +78,7 @@ def fold_char(ch: str) -> str:
     if ch in _SPACES:
         return " "
     category = unicodedata.category(ch)
-    if cp in _HIDDEN or (category == "Cf" and cp not in _VISIBLE_FORMAT) or (category == "Cc" and cp < 0x20):
+    if cp in _HIDDEN or (category == "Cf" and cp not in _VISIBLE_FORMAT) or (category == "Cc" and (cp < 0x20 or cp == 0x7F)):
         return ""
     if ch in LOOKALIKE:
         return LOOKALIKE[ch]
@@ -95,7 +95,7 @@ def fold_char(ch: str) -> str:
 def fold_table() -> dict[str, str]:
     """Every character that changes, by rule from the Unicode data; Hangul syllables stay composed."""
     found = {}
-    for cp in range(1, sys.maxunicode + 1):
+    for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
             continue
         ch = chr(cp)
@@ -210,7 +210,7 @@ def fold_text(text: str) -> str:
     return " ".join(_recompose(unicodedata.normalize("NFD", text.translate(_translation()))).split())
 
 
-_ASCII_CONTROLS = {c: " " if chr(c) in _SPACES else None for c in (*range(1, 32), 127)}
+_ASCII_CONTROLS = {c: " " if chr(c) in _SPACES else None for c in (*range(32), 127)}
 
 
 @functools.cache

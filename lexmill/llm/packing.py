@@ -7,7 +7,7 @@ exchanges one for one or two for one, between underfull bins whenever that incre
 fills; emptied bins disappear.  A cell leaves about one bin unfilled, so with ``CELL`` pieces in a cell the
 loss against one packing of everything is below the size of a bin in some thousand bins.
 
-Defined cases: null and blank texts have no tokens and no place; rows with the same id and size are one
+Defined cases: null and blank texts have no tokens and no place, rows without an id neither; rows with the same id and size are one
 text; a capacity that is null or below 1 packs nothing; other columns are ignored; empty tables give no rows.
 """
 
@@ -146,7 +146,7 @@ def pack(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def packed_sequences(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, cell: int = CELL) -> DataFrame:
     """(stage, bin, id_col, piece, first_token, n_tokens): every piece's place for every row of ``limits``."""
-    sizes = materialize(token_sizes(docs, id_col, text_col, vocabulary_path=vocabulary_path).filter("n_tokens > 0").distinct(), "sizes")
+    sizes = materialize(token_sizes(docs, id_col, text_col, vocabulary_path=vocabulary_path).filter("id is not null and n_tokens > 0").distinct(), "sizes")
     n_cells = max(1, -(-sizes.count() // cell))
     limits = limits.select("stage", F.col("max_seq_length").cast("int").alias("capacity")).filter("capacity >= 1").distinct()
     each = sizes.crossJoin(F.broadcast(limits))  # a handful of rows: the fixed input lengths

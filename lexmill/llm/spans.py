@@ -14,7 +14,7 @@ Two passes over the texts with a count-min sketch between them.
 No pairs are made, and no group is collected: a group of any size is only counted.
 
 Defined cases: null, empty and short texts share nothing; a span repeated inside one record only doesn't
-count; rows with the same id are one record; other columns are ignored; an empty table gives no rows; long
+count; rows with the same id are one record, rows without an id are left out; other columns are ignored; an empty table gives no rows; long
 texts are hashed whole, in overlapping pieces.
 """
 
@@ -257,7 +257,7 @@ def shared_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Stretches overlap; their union is exactly what is shared in spans of that length.
     """
-    docs = docs.select(F.col(id_col).alias(_ID), F.col(text_col).alias("text")).filter(F.char_length("text") >= SPAN)
+    docs = docs.select(F.col(id_col).alias(_ID), F.col(text_col).alias("text")).filter((F.char_length("text") >= SPAN) & F.col(_ID).isNotNull())
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     found = materialize(repeated_windows(docs, _bits(chars * 2 // (W + 1))), "windows")
     two = lambda c: F.min(c) != F.max(c)
