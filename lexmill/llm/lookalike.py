@@ -161,9 +161,14 @@ def fold_words(words: DataFrame) -> DataFrame:
 def consistent_texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id_col, field, text, skeleton, form), one row for each distinct id, field and text."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    texts = df.select(F.col(id_col).alias("id"), pairs.alias("p")).select("id", "p.field", "p.text").distinct()
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    tokens = texts.filter("text is not null").select("id", "field", "h", F.posexplode(F.split("text", SPACE + "+")).alias("at", "word")).filter("word <> ''")
+    every = df.select(F.col(id_col).alias("id"), pairs.alias("p")).select("id", "p.field", "p.text").distinct()
+    # nothing in ASCII has a look-alike but white space and control characters: such texts need no exploding
+    ascii_only = F.col("text").isNull() | F.col("text").rlike(r"\A[\x00-\x7f]*\z")
+    bare = F.regexp_replace("text", r"[\x00-\x08\x0e-\x1b\x7f]", "")
+    simple = F.regexp_replace(F.regexp_replace(bare, SPACE + "+", " "), r"\A | \z", "")
+    direct = every.filter(ascii_only).select(F.col("id").alias(id_col), "field", "text", simple.alias("skeleton"), simple.alias("form"))
+    texts = every.filter(~ascii_only).withColumn("h", F.xxhash64("text"))
+    tokens = texts.select("id", "field", "h", F.posexplode(F.split("text", SPACE + "+")).alias("at", "word")).filter("word <> ''")
     plain = F.col("word").rlike(rf"^[\x21-\x7e]*[A-Za-z&&[^{_AMBIGUOUS_LATIN}]][\x21-\x7e]*$") | F.col("word").rlike(r"^[\x21-\x40\x5b-\x60\x7b-\x7e]+$")
     words = fold_words(tokens.select("word").filter(~plain).distinct())
     joined = tokens.join(words, "word", "left").select(
@@ -179,11 +184,11 @@ def consistent_texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame
         "id", "field", "h", F.array_join(F.transform(shown, lambda w: w["s"]), " ").alias("skeleton"),
         F.array_join(F.transform(shown, lambda w: F.when(F.col("cyrillic") & w["other"].isNotNull(), w["other"]).otherwise(w["f"])), " ").alias("form"),
     )
-    blank = F.when(F.col("text").isNotNull(), "")
     keys = [F.col("t.id").eqNullSafe(F.col("r.id")), F.col("t.field") == F.col("r.field"), F.col("t.h") == F.col("r.h")]
-    return texts.alias("t").join(rebuilt.alias("r"), keys, "left").select(
-        F.col("t.id").alias(id_col), F.col("t.field").alias("field"), "text", F.coalesce("skeleton", blank).alias("skeleton"), F.coalesce("form", blank).alias("form")
+    worked = texts.alias("t").join(rebuilt.alias("r"), keys, "left").select(
+        F.col("t.id").alias(id_col), F.col("t.field").alias("field"), "text", F.coalesce("skeleton", F.lit("")).alias("skeleton"), F.coalesce("form", F.lit("")).alias("form")
     )
+    return direct.unionByName(worked)
 
 
 def same_look_pairs(forms: DataFrame, id_col: str) -> DataFrame:

@@ -67,6 +67,6 @@ def test_fold_text_is_idempotent(text):
 
 
 def test_operator_equals_plain_python(spark):
-    texts = ["À Vеnv", "ｆüｒ №4 ﬂöße", "Hиктo нe", "ઓરડો અને", "x⁠y z", "﻿", "ά ΐ", "가나 다", "Ⅳ ½ …"]
+    texts = ["a \x01b\x7f\t\x0bc\x1c ", " \x00 ", "a\n", "À Vеnv", "ｆüｒ №4 ﬂöße", "Hиктo нe", "ઓરડો અને", "x⁠y z", "﻿", "ά ΐ", "가나 다", "Ⅳ ½ …"]
     got = forms(spark, texts)
     assert {k[1]: v[0] for k, v in got.items()} == {t: L.fold_text(t) for t in texts}
