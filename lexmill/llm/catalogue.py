@@ -41,6 +41,18 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 8: long exact spans shared between records
 
+#: All windows of 160 characters that stand in more than one document.
+_SPANS = """
+spans AS (SELECT doc_id, s, md5(substr(text, s, 160)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS s FROM documents WHERE length(text) >= 160)),
+shared AS (SELECT doc_id, s FROM spans WHERE h IN (SELECT h FROM spans GROUP BY h HAVING min(doc_id) <> max(doc_id)))"""
+ORACLES["p8_found"] = f"WITH {_SPANS} SELECT DISTINCT doc_id FROM shared"
+ORACLES["p8_shared_amounts"] = f"""
+WITH {_SPANS}, steps AS (SELECT doc_id, s, lead(s) OVER w AS next, lag(s) OVER w AS before FROM shared WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+per AS (SELECT doc_id, sum(least(160, coalesce(next - s, 160)))::BIGINT AS shared_chars, count_if(before IS NULL OR s - before > 160) AS n_spans FROM steps GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
+  CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) ELSE 0.0::DOUBLE END AS shared_share, coalesce(n_spans, 0) AS n_spans
+FROM documents LEFT JOIN per USING (doc_id)"""
+
 
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
