@@ -453,6 +453,11 @@ def word_counts(spark, d):
 # ---- encoding and evaluation
 
 
+@query()
+def triplets_by_svd(spark, d):
+    return pipeline.triplets_by("svd", _lines(spark, d), None, None, 300, k=30)
+
+
 @query()
 def encode_corpus(spark, d):
     encoded = plugins.encode(_docs(spark, d).filter("text is not null").select("doc_id", "text"), plugins.HashedWords(32))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill import schemas
 from lexmill.functions import vector as vx
-from lexmill.operators import annotate, corpus, dedup, plugins, retrieval
+from lexmill.operators import annotate, corpus, dedup, pairs, plugins, retrieval, sample, tfidf
 from lexmill.session import materialize
 from lexmill.sources import files
 
@@ -72,9 +72,9 @@ def embed_stage(spark: SparkSession, t: dict[str, DataFrame], dim: int = 64) ->
     return plugins.encode(t["corpus"], plugins.HashedWords(dim)).select("line", "text", "embedding")
 
 
-def evaluate(pairs: DataFrame, encoder: plugins.Encoder, branch: str = "a", k: int = 10) -> DataFrame:
+def evaluate(sts: DataFrame, encoder: plugins.Encoder, branch: str = "a", k: int = 10) -> DataFrame:
     """(branch, metric, value): Spearman of cosine and score, Recall@k and MRR@k of sentence_a against all sentence_b."""
-    own = pairs.filter("sentence_a is not null and sentence_b is not null").select("id", "sentence_a", "sentence_b", "score")
+    own = sts.filter("sentence_a is not null and sentence_b is not null").select("id", "sentence_a", "sentence_b", "score")
     a = plugins.encode(own, encoder, "sentence_a").withColumnRenamed("embedding", "va")
     both = plugins.encode(a, encoder, "sentence_b").withColumnRenamed("embedding", "vb")
     both = materialize(both.withColumn("cosine", vx.cosine("va", "vb")), "encoded")
@@ -98,3 +98,29 @@ DEFAULT = [
     Stage("embeddings", embed_stage, ("corpus",), {"dim": 64}),
     Stage("triplets", triplet_stage, ("items", "annotations"), {"upper": 0.7, "lower": 0.3}),
 ]
+
+
+def triplets_by(method: str, lines: DataFrame, items: DataFrame, annotations: DataFrame, n: int | None = None, seed: int = 1337, paraphrases: DataFrame | None = None, k: int = 100) -> DataFrame:
+    """Triplets from silver or human labels: ``svd`` (latent similarity of random pairs of lines),
+    ``backtranslation`` (three silver tiers) or ``native`` (mean human labels).  An error if there are none.
+
+    ``lines`` is (doc_id, pos, text).  Training uses another seed than evaluation sets, whose default is 42.
+    """
+    if method == "svd":
+        keyed = sample.numbered(lines.select("doc_id", "pos", "text"), "doc_id", "pos").select(F.col("idx").alias("doc_id"), "text")
+        keyed = materialize(keyed, "lines")
+        scored = tfidf.lsa_scored_pairs(keyed, n or 3000, k=k, seed=seed)
+        a = keyed.select(F.col("doc_id").alias("i"), F.col("text").alias("sentence_a"))
+        b = keyed.select(F.col("doc_id").alias("j"), F.col("text").alias("sentence_b"))
+        labelled = scored.join(a, "i").join(b, "j").select(F.col("pair").alias("item_id"), "sentence_a", "sentence_b", "score")
+    elif method == "backtranslation":
+        silver = pairs.silver_pairs(lines, n or 300, seed, paraphrases)
+        labelled = silver.withColumn("item_id", F.xxhash64("sentence_a", "sentence_b"))
+    elif method == "native":
+        labelled = sample.sample_rows(annotate.labelled_pairs(items, annotations), n or 60, seed, "item_id")
+    else:
+        raise ValueError(f"unknown labelling method {method}")
+    out = materialize(annotate.percentile_triplets(labelled, seed=seed), "triplets")
+    if out.isEmpty():
+        raise ValueError(f"labelling by {method} gave no triplets")
+    return out

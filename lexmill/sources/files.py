@@ -191,3 +191,21 @@ def check_free_space(free_bytes: int, min_free_gb: float, reserve_bytes: int = 0
     """Error if less than the wanted room would be left."""
     if free_bytes - reserve_bytes < min_free_gb * 1024**3:
         raise OSError(f"{free_bytes / 1024**3:.2f} GB free, {reserve_bytes / 1024**3:.2f} GB needed, {min_free_gb} GB must stay")
+
+
+def write_embeddings(encoded: DataFrame, path: str, free_bytes: int | None = None, min_free_gb: float = 5.0) -> int:
+    """(text, embedding) rows as JSON lines, after a check of the room on the disk; returns the number of rows.
+
+    Spark writes in parallel and in Arrow batches, so there is no chunk size; an aborted write leaves no
+    committed output.
+    """
+    from lexmill.functions import vector as vx
+
+    size = vx.jsonl_bytes(encoded).first()
+    free = free_bytes
+    if free is None:
+        spark = encoded.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        free = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getStatus().getRemaining()
+    check_free_space(free, min_free_gb, size["bytes"] or 0)
+    return write_jsonl(encoded, path, schemas.EMBEDDING)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import schemas
+from lexmill.functions import training as tr
 from lexmill.operators import plugins, subword, tfidf
 from lexmill.plans import pipeline
 from lexmill.session import materialize, release, scratch_dir
@@ -212,6 +213,30 @@ def test_evaluate(spark):
     assert got["retrieval_recall@3"] == 1.0 and got["retrieval_mrr@3"] <= got["retrieval_recall@3"] and set(got) == {"spearman", "retrieval_recall@3", "retrieval_mrr@3"}
 
 
+def test_triplets_by_method(spark):
+    lines = spark.createDataFrame([(d, p, f"topic{d % 3} word{p % 4} again topic{d % 3} here") for d in range(12) for p in range(3)], "doc_id long, pos long, text string")
+    items = spark.createDataFrame([(i, f"a{i}", f"b{i}", 0.1, "labeled", None) for i in range(10)], schemas.ITEMS)
+    ann = spark.createDataFrame([(i, i, 1, float(i % 6), None) for i in range(10)], schemas.ANNOTATIONS)
+    for method in ("svd", "backtranslation", "native"):
+        got = pipeline.triplets_by(method, lines, items, ann, 30)
+        assert got.count() > 0 and got.columns == ["anchor", "positive", "negative"]
+    with pytest.raises(ValueError, match="no triplets"):
+        pipeline.triplets_by("native", lines, items, ann.limit(0))
+    with pytest.raises(ValueError, match="unknown"):
+        pipeline.triplets_by("other", lines, items, ann)
+
+
+def test_embeddings_sink_and_training_arithmetic(spark, tmp_path):
+    df = plugins.encode(spark.createDataFrame([("a",), ("b",)], "text string"), plugins.HashedWords(4))
+    assert files.write_embeddings(df, str(tmp_path / "e")) == 2
+    with pytest.raises(OSError):
+        files.write_embeddings(df, str(tmp_path / "f"), free_bytes=10, min_free_gb=1)
+    assert not (tmp_path / "f").exists()
+    assert tr.calibrated_steps(10, 25, 15.0) == 1000 and tr.calibrated_steps(1, 1, 600.0) == 50
+    assert tr.triplet_warmup(10) == 1 and tr.triplet_warmup(100_000) == 100 and tr.ratio_warmup(100, 2, 0.1) == 20
+    assert tr.pooling_mode("decoder") == "lasttoken" and tr.pooling_mode("?") == "mean"
+
+
 def test_materialize(spark):
     t = materialize(spark.range(5), "x")
     assert t.count() == 5 and "/lexmill-" in t.inputFiles()[0] and scratch_dir(spark) in t.inputFiles()[0]
