@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators import sample
+from lexmill.session import materialize
 
 PRIOR = 2  #: pseudo-count of the smoothed reliability
 POSITIVE, NEGATIVE = 4.0, 1.0  #: mean labels from which a pair is positive or negative
@@ -42,7 +43,8 @@ def weighted_kappa(ratings: DataFrame, group: str | None = None) -> DataFrame:
     definition.  Only counts by pair of labels are handled after the first aggregation.  A single class gives null.
     """
     g = [group] if group else []
-    counts = ratings.filter("a is not null and b is not null").groupBy(*g, "a", "b").agg(F.count("*").cast("double").alias("n"))
+    # written, because the labels and the counts are both made from it
+    counts = materialize(ratings.filter("a is not null and b is not null").groupBy(*g, "a", "b").agg(F.count("*").cast("double").alias("n")), "counts")
     labels = counts.select(*g, F.explode(F.array("a", "b")).alias("x")).distinct()
     # a group has as many rows as there are labels
     ranked = labels.groupBy(*g).agg(F.array_sort(F.collect_list("x")).alias("xs"))
