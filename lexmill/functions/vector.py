@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import let
@@ -42,6 +42,7 @@ def jsonl_bytes(df: DataFrame, vector: str = "embedding", per_number: int = 18)
 
 def last_token_index(df: DataFrame, mask: str = "mask") -> DataFrame:
     """Adds ``last``: if every row of the table ends with 1 (left-padded), the last position, else sum - 1."""
-    padded_left = F.bool_and(F.element_at(mask, -1) == 1).over(Window.partitionBy(F.lit(0)))
+    table = df.agg(F.bool_and(F.element_at(mask, -1) == 1).alias("_padded_left"))  # one row
     total = F.aggregate(mask, F.lit(0), lambda s, x: s + x)
-    return df.withColumn("last", F.when(padded_left, F.size(mask) - 1).otherwise(total - 1))
+    last = F.when(F.col("_padded_left"), F.size(mask) - 1).otherwise(total - 1)
+    return df.crossJoin(F.broadcast(table)).withColumn("last", last).drop("_padded_left")

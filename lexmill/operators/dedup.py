@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
@@ -34,9 +34,11 @@ def shingle_sets(texts: DataFrame, k: int = 5) -> DataFrame:
 
 def _blocked(rows: DataFrame, keys: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Both sides of a self-join on keys, in which a key with many rows is cut to pairs of blocks."""
-    n = F.count("*").over(Window.partitionBy(*keys))
+    # counts are pre-aggregated and joined back, so that the rows of a hot key pass no single task
+    rows = materialize(rows, "keyed")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    cut = rows.withColumn("n", n).filter("n > 1").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    cut = rows.join(counts, keys).withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     left = cut.select("*", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("o")).withColumnRenamed("b", "p")
     right = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("p")).withColumnRenamed("b", "o")
     return left.drop("n", "blocks"), right.drop("n", "blocks")
