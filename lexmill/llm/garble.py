@@ -7,7 +7,7 @@ that no clean word explains are decoded backwards, strictly, as an exact check f
 lacks, and U+FFFD shows a loss in any case.
 
 Guards: a form that the clean corpus holds, or that only looks different to a machine (see
-:mod:`lookalike`), is no garbling; a form of one character never is, so quoted letters such as an A with
+:mod:`lookalike`) or in case, is no garbling; a form of one character never is, so quoted letters such as an A with
 tilde are sound; chains between one-byte encodings count for whole words of some length only.
 
 Defined cases: null texts are sound and rows without an id are left out; empty texts are sound; repeated rows give one row; other
@@ -115,7 +115,7 @@ def garbled_forms(unit: str, whole: bool, weak: bool = False) -> list[tuple[str,
         if form is None or form == unit or len(form) < 2 or form in out or form.strip(LOST) == "":
             continue
         if not by_bytes and len(chain) == 1:
-            if len(form) < (4 if len(_script(form)) == 1 else 3) or fold_text(form) == fold_text(unit):
+            if len(form) < (4 if len(_script(form)) == 1 else 3) or fold_text(form).lower() == fold_text(unit).lower():
                 continue
         out[form] = " ".join(chain)
         if by_bytes:

@@ -5,7 +5,7 @@ from lexmill.llm import garble as G
 SCHEMA = "id int, text string, unit string, kind int"
 CLEAN = [
     "Les chébrinoraux pâles ont remplacé l’été passé à Lotaville",
-    "Никто не видел, как быстрые фермы накрыли щиты",
+    "Никто не видел, как быстрые фермы накрыли щиты, яpкиe",
     "દર અઠવાડિયે લોકોએ મોટું ગામ માં તપાસ્યું",
     "Die spröden Hämmer — für 5 € “neu” gezählt über Übermut",
 ]
@@ -54,7 +54,7 @@ def test_partly_garbled_and_lost(spark):
 def test_sound_texts(spark):
     texts = [
         "The sign showed the letter “Ã” above", "L’affiche portait « Ð » : à", "ÂGE ET CHÂTEAU", "25 °C № 4 they paid 40 € for the “set™”…",
-        "НИКТО НЕ ВИДЕЛ", "Maß 48µ, Größe §90", None, "", "Тhе саfé", "ｆｕｌｌ", "лёд и ёлка", "fi­ts", "Прибор Р-62С и РС-40", "Нemoкpый лeд",
+        "НИКТО НЕ ВИДЕЛ", "Maß 48µ, Größe §90", None, "", "Тhе саfé", "ｆｕｌｌ", "лёд и ёлка", "fi­ts", "Прибор Р-62С и РС-40", "Нemoкpый лeд", "Яpкиe caды",
     ]
     assert found(spark, texts) == set()
 
