@@ -1,9 +1,11 @@
 """Problem 5: evaluation texts leaking into training text.
 
-Latent semantic retrieval.  One pass over the corpus cuts every text to passages: stretches of at least
-``window`` words in a row that all occur in the test vocabulary (anything else is orthogonal to every query,
-so no passage is lost).  Word weights (TF-IDF) are counted over all passages, a randomised SVD is computed
-by partial products in the partitions, and every passage window is compared with every test window by the
+Latent semantic retrieval.  One pass over the corpus cuts every text to passages.  For exact copies these are
+stretches of at least ``window`` words in a row that all occur in the test vocabulary: a copy has no other
+words, so none is lost.  For paraphrases they are all windows of a sentence's length with so many known words
+as the common subsequence needs, whatever stands between those; unknown words have no weight and equal nothing.
+Word weights (TF-IDF) are counted over the runs of ``window`` known words in all passages, or over the passages
+if there are no runs; a randomised SVD is computed by partial products in the partitions, and every passage window is compared with every test window by the
 cosine in the latent space.  Equal windows have equal vectors, so an exact copy is always a candidate;
 candidates are then checked word for word, or, for paraphrases, by the longest common subsequence and by
 the sentence's telling words.
@@ -14,8 +16,8 @@ searched in blocks, so that this size is bounded.
 Words are compared in the consistent form of :mod:`lookalike`, lower-cased, without punctuation; a word
 split by a hyphen at a line end is joined.
 
-Defined cases: null and empty texts contain nothing; a test sentence of fewer than ``window`` words can't be
-found; rows without an id are left out; repeated rows give one result row; other columns are ignored; an empty
+Defined cases: null and empty texts contain nothing; a test sentence of fewer than ``window`` words has no exact
+passage, but the report compares it too; rows without an id are left out; repeated rows give one result row; other columns are ignored; an empty
 table on either side gives no rows; texts of any length are read whole.
 """
 
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -74,8 +77,31 @@ def _runs(ids: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
 
-def passages(docs: DataFrame, vocabulary: dict[str, int], least: int) -> DataFrame:
-    """(id, at, ids): the passages of all texts; ``at`` is the number of the first word."""
+def _least_common(n: int, common: float) -> int:
+    """Words that a window must share with a sentence of n words to reach the share ``common``, at least one."""
+    return next((k for k in range(1, n + 1) if k / n >= common), n + 1)
+
+
+def _covered(ids: np.ndarray, least: dict[int, int], run: int) -> list[tuple[int, int]]:
+    """Stretches of windows of n words with at least least[n] known words, and of ``run`` known words in a row;
+    a text shorter than n is one window."""
+    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+    if known[-1] < min(run, *least.values()):
+        return []
+    edges = np.zeros(len(ids) + 1, np.int64)
+    for n, need in least.items():
+        w = min(n, len(ids))
+        at = np.flatnonzero(known[w:] - known[:-w] >= need)
+        edges[at] += 1
+        edges[at + w] -= 1
+    for a, b in _runs(ids, run):
+        edges[a] += 1
+        edges[b] -= 1
+    return _runs(np.where(np.cumsum(edges[:-1]) > 0, 0, -1), 1)
+
+
+def passages(docs: DataFrame, vocabulary: dict[str, int], stretches: Callable[[np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """(id, at, ids): the passages of all texts; ``at`` is the number of the first word, unknown words are -1."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,17 +113,29 @@ def passages(docs: DataFrame, vocabulary: dict[str, int], least: int) -> DataFra
                     continue
                 tokens = (_BREAK.sub("", text) if "\n" in text or "\r" in text else text).split()
                 ids = np.fromiter(chain.from_iterable(map(known.__getitem__, tokens)), np.int32)
-                out += [(id_, a, ids[a:b]) for a, b in _runs(ids, least)]
+                out += [(id_, a, ids[a:b]) for a, b in stretches(ids)]
             yield pd.DataFrame(out, columns=["id", "at", "ids"])
 
     return docs.mapInPandas(cut, f"id {dict(docs.dtypes)['id']}, at int, ids array<int>")
 
 
+def known_runs(found: DataFrame, least: int) -> DataFrame:
+    """(ids): the stretches of at least so many known words in a row of passages."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [np.asarray(x, np.int32) for x in pdf["ids"]]
+            yield pd.DataFrame([(ids[a:b],) for ids in rows for a, b in _runs(ids, least)], columns=["ids"])
+
+    return found.select("ids").mapInPandas(cut, "ids array<int>")
+
+
 def _weights(rows: list[np.ndarray], m: int, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of length 1."""
+    """TF-IDF rows of length 1; words outside the vocabulary have no weight."""
     a = np.zeros((len(rows), m))
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    np.add.at(a, (at, np.concatenate(rows).astype(np.int64)), 1.0)
+    ids = np.concatenate(rows).astype(np.int64)
+    np.add.at(a, (at[ids >= 0], ids[ids >= 0]), 1.0)
     a *= idf
     return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
 
@@ -112,7 +150,7 @@ def idf_of(runs: DataFrame, m: int) -> np.ndarray:
     """Smoothed inverse document frequencies of the vocabulary over all passages."""
     n = runs.count()
     df = np.zeros(m)
-    for row in runs.select(F.explode(F.array_distinct("ids")).alias("w")).groupBy("w").count().collect():  # at most m rows
+    for row in runs.select(F.explode(F.array_distinct("ids")).alias("w")).filter("w >= 0").groupBy("w").count().collect():  # at most m rows
         df[row.w] = row["count"]
     return np.log((1 + n) / (1 + df)) + 1
 
@@ -182,18 +220,26 @@ def _longest_common(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def _search(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, test_id: str, fields: list[str], window: int, check, columns: str) -> DataFrame:
-    """``check(sentences, runs, idf, vectors)`` makes the partition function for each block of tests."""
+def _search(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, test_id: str, fields: list[str], window: int, check, columns: str, common: float | None = None) -> DataFrame:
+    """``check(sentences, idf, vectors)`` makes the partition function for each block of tests.
+
+    Passages are runs of ``window`` known words or, with a share ``common``, all windows that can reach it.
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     kinds = {"id": dict(docs.dtypes)["id"], "test": dict(tests.dtypes)[test_id]}
     found = None
     for sentences in _test_blocks(tests, test_id, fields):
         vocabulary = {w: i for i, w in enumerate(sorted({w for s in sentences for w in s[2]}))}
-        sentences = [(t, side, np.array([vocabulary[w] for w in ws], np.int32)) for t, side, ws in sentences if len(ws) >= window]
+        sentences = [(t, side, np.array([vocabulary[w] for w in ws], np.int32)) for t, side, ws in sentences if len(ws) >= (window if common is None else 1)]
         if not sentences:
             continue
-        runs = materialize(passages(docs, vocabulary, window), "passages")
-        idf = idf_of(runs, len(vocabulary))
+        if common is None:
+            stretches = partial(_runs, least=window)
+        else:
+            stretches = partial(_covered, least={n: _least_common(n, common) for n in {len(s[2]) for s in sentences}}, run=window)
+        runs = materialize(passages(docs, vocabulary, stretches), "passages")
+        counted = runs if common is None else materialize(known_runs(runs, window), "runs")
+        idf = idf_of(runs if counted.isEmpty() else counted, len(vocabulary))
         search = check(sentences, idf, randomised_svd(runs, idf))
         part = runs.mapInPandas(search, columns.format(**kinds)).distinct()
         found = part if found is None else found.unionByName(part)
@@ -236,7 +282,8 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", t
 def leak_report(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", test_id: str = "test_id", fields: tuple[str, ...] = ("sentence_a", "sentence_b"), window: int = WINDOW, cosine: float = 0.8, common: float = 0.75, telling: int = 3) -> DataFrame:
     """(id_col, test_id, side, cosine, common, kind): whole or reworded test sentences in records.
 
-    A candidate is a passage window of a sentence's length whose cosine is high enough.  It is reported if
+    A candidate is a window of a sentence's length, or a shorter run of known words, whose cosine is high
+    enough; a window with fewer known words than ``common`` asks for is none.  It is reported if
     the longest common subsequence covers the share ``common`` of the sentence and the sentence's ``telling``
     rarest words (its answer) all stand in the passage; ``kind`` is whole, part or reworded.
     """
@@ -250,31 +297,49 @@ def leak_report(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_
             answers = [set(sorted(set(s[2].tolist()), key=lambda w: (-idf[w], w))[:telling]) for s in sentences]
             lengths = sorted({len(s[2]) for s in sentences})
             of = {n: [i for i, s in enumerate(sentences) if len(s[2]) == n] for n in lengths}
+            least = {n: _least_common(n, common) for n in lengths}
+
+            def compare(n: int, cut: dict[bytes, set], best: dict[tuple, tuple]) -> None:
+                """Notes the matches of some different windows with all sentences of n words."""
+                part = [np.frombuffer(k, np.int32) for k in cut]
+                owners = list(cut.values())
+                near = _unit(_weights(part, len(idf), idf) @ vectors) @ queries[of[n]].T
+                for row, q in zip(*np.nonzero(near >= cosine), strict=True):
+                    t, side, want = sentences[of[n][q]]
+                    have = part[row].tolist()
+                    if not answers[of[n][q]] <= set(have):
+                        continue
+                    share = _longest_common(want.tolist(), have) / n
+                    if share < common:
+                        continue
+                    whole = have == want.tolist()
+                    inside = whole or (min(n, len(have)) >= window and any(np.array_equal(x, y) for x in _windows(part[row], window) for y in _windows(want, window)))
+                    kind = "whole" if whole else "part" if inside else "reworded"
+                    new = (round(share, 6), round(min(1.0, float(near[row, q])), 6), kind)
+                    for id_ in owners[row]:
+                        best[id_, t, side] = max(best.get((id_, t, side), new), new)
+
             for pdf in batches:
                 best: dict[tuple, tuple] = {}
-                for id_, ids in zip(pdf["id"], pdf["ids"], strict=True):
-                    ids = np.asarray(ids, np.int32)
-                    for n in lengths:
-                        cut = _windows(ids, min(n, len(ids)))
-                        for b in range(0, len(cut), 1024):
-                            part = cut[b : b + 1024]
-                            near = _unit(_weights(list(part), len(idf), idf) @ vectors) @ queries[of[n]].T
-                            for row, q in zip(*np.nonzero(near >= cosine), strict=True):
-                                t, side, want = sentences[of[n][q]]
-                                have = part[row].tolist()
-                                share = _longest_common(want.tolist(), have) / n
-                                if share < common or not answers[of[n][q]] <= set(have):
-                                    continue
-                                whole = have == want.tolist()
-                                inside = whole or any(np.array_equal(x, y) for x in _windows(part[row], min(window, len(have))) for y in _windows(want, window))
-                                kind = "whole" if whole else "part" if inside else "reworded"
-                                new = (round(share, 6), round(min(1.0, float(near[row, q])), 6), kind)
-                                best[id_, t, side] = max(best.get((id_, t, side), new), new)
+                for n in lengths:
+                    cut: dict[bytes, set] = {}  # equal windows are compared once
+                    for id_, ids in zip(pdf["id"], pdf["ids"], strict=True):
+                        ids = np.asarray(ids, np.int32)
+                        known, w = np.concatenate([[0], np.cumsum(ids >= 0)]), min(n, len(ids))
+                        spans = [(a, a + w) for a in np.flatnonzero(known[w:] - known[:-w] >= least[n])]
+                        spans += [(a, b) for a, b in _runs(ids, least[n]) if b - a < w]
+                        for a, b in spans:
+                            cut.setdefault(ids[a:b].tobytes(), set()).add(id_)
+                            if len(cut) == 1024:
+                                compare(n, cut, best)
+                                cut = {}
+                    if cut:
+                        compare(n, cut, best)
                 yield pd.DataFrame([(i, t, s, c, l, k) for (i, t, s), (l, c, k) in best.items()], columns=["id", "test", "side", "cosine", "common", "kind"])
 
         return search
 
-    found = _search(docs, tests, id_col, text_col, test_id, list(fields), window, check, "id {id}, test {test}, side int, cosine double, common double, kind string")
+    found = _search(docs, tests, id_col, text_col, test_id, list(fields), window, check, "id {id}, test {test}, side int, cosine double, common double, kind string", common)
     best = found.groupBy("id", "test", "side").agg(F.max(F.struct("common", "cosine", "kind")).alias("b"))
     names = F.array(*[F.lit(f) for f in fields])
     return best.select(F.col("id").alias(id_col), F.col("test").alias(test_id), F.get(names, "side").alias("side"), "b.cosine", "b.common", "b.kind")

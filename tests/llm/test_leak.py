@@ -81,6 +81,35 @@ def test_report_kinds(spark):
     assert all(k[0] != 3 for k in got)
 
 
+def test_report_finds_rewordings_with_foreign_words(spark):
+    a = "The tired courier beside the frozen canal studied four clay pipes although nobody asked the pilot"
+    b = "Six gulls watched trams"  # shorter than the window of exact copies
+    tests = spark.createDataFrame([(1, a, b, "x"), (2, "The museum guide praised the old maps beside the siren although the parade stopped", None, "x")], TESTS)
+    changed = "Some tired courier near the frozen canal studied four clay pipes while nobody asked that pilot"  # runs of known words: 2, 7, 2, 1
+    docs = [
+        (1, f"кот пёс {changed} кот пёс", 0, 0), (2, changed, 0, 0), (3, f"кот {b} пёс", 0, 0), (4, "кот Six пёс watched кот trams", 0, 0),
+        (5, "кот Some tired courier near the кот пёс пёс кот studied four while nobody asked that pilot", 0, 0), (6, f"кот {a} пёс", 0, 0),
+        *[(i, "the old maps beside the parade although the museum guide praised the siren beside the parade", 0, 0) for i in range(10, 20)],
+    ]
+    got = {(r.doc_id, r.side): (r.kind, r.common) for r in L.leak_report(spark.createDataFrame(docs, DOCS), tests).filter("test_id = 1").collect()}
+    assert got == {
+        (1, "sentence_a"): ("reworded", 0.75), (2, "sentence_a"): ("reworded", 0.75), (3, "sentence_b"): ("whole", 1.0), (6, "sentence_a"): ("whole", 1.0),
+    }
+
+
+def test_covered_stretches():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        ids = np.where(rng.random(rng.integers(1, 30)) < 0.6, 1, -1).astype(np.int32)
+        least = {int(n): L._least_common(int(n), 0.75) for n in rng.integers(1, 12, 3)}
+        want = set()
+        for n, need in least.items():
+            w = min(n, len(ids))
+            want |= {i for a in range(len(ids) - w + 1) if (ids[a : a + w] >= 0).sum() >= need for i in range(a, a + w)}
+        want |= {i for a in range(len(ids) - 4) if (ids[a : a + 5] >= 0).all() for i in range(a, a + 5)}
+        assert {i for a, b in L._covered(ids, least, 5) for i in range(a, b)} == want
+
+
 def test_svd_equals_numpy(spark):
     rng = np.random.default_rng(2)
     rows = [rng.choice(40, size=8, p=np.arange(1, 41) / 820).astype(int).tolist() for _ in range(300)]
