@@ -12,32 +12,70 @@ def fills(bins):
     return sorted(sum(b) for b in bins)
 
 
+def squares(bins):
+    return sum(f * f for f in fills(bins))
+
+
+def steepest(sizes, capacity):
+    """Moves of single pieces by looking at all of them."""
+    bins = [[s] for s in sizes]
+    while True:
+        moves = [(sum(b) * a[0], i, j) for i, a in enumerate(bins) if len(a) == 1 for j, b in enumerate(bins) if i != j and b and sum(b) + a[0] <= capacity]
+        if not moves:
+            return [b for b in bins if b]
+        _, i, j = max(moves)
+        bins[j].append(bins[i][0])
+        bins[i] = []
+
+
+def test_moves_are_the_steepest():
+    rng = np.random.default_rng(4)
+    for capacity in (9, 16, 40):
+        sizes = rng.integers(1, capacity + 1, 40).tolist()
+        got, want = P.move_singles(sizes, capacity), steepest(sizes, capacity)
+        assert sorted(s for b in got for s in b) == sorted(sizes) and max(fills(got)) <= capacity
+        assert abs(len(got) - len(want)) <= 1 and squares(got) >= 0.97 * squares(want)  # ties may be broken otherwise
+
+
 def test_search_increases_squared_fill_and_keeps_pieces():
     rng = np.random.default_rng(0)
     for capacity in (10, 37, 128):
         sizes = rng.integers(1, capacity + 1, 400)
-        start = [[int(s)] for s in sizes]  # one piece a bin: everything is left to the search
-        search = P._Search([list(b) for b in start], capacity)
-        end = search.run(30)
-        assert sorted(s for b in end for s in b) == sorted(sizes.tolist())
-        assert max(fills(end)) <= capacity
-        assert sum(f * f for f in fills(end)) > sum(f * f for f in fills(start))
-        assert len(end) <= 1.12 * max(-(-sizes.sum() // capacity), int((sizes * 2 > capacity).sum()))
-
-
-def test_search_empties_bins_of_a_bad_packing():
-    # 6+3, 5+4 | 1-for-1 exchange needed: {7,2},{5,3} with capacity 10 -> full bins
-    search = P._Search([[6, 3], [4], [3, 2], [5]], 10)
-    end = search.run(10)
+        start = [[int(s)] for s in sizes]
+        end = P._Exchange([list(b) for b in start], capacity).run()
+        both = P.pack(sizes.tolist(), capacity)
+        for bins in (end, both):
+            assert sorted(s for b in bins for s in b) == sorted(sizes.tolist())
+            assert max(fills(bins)) <= capacity
+            assert squares(bins) > squares(start)
+        assert len(both) <= 1.06 * max(-(-sizes.sum() // capacity), int((sizes * 2 > capacity).sum()))
+
+
+def test_every_kind_of_step():
+    # a move; one for one; two for one
+    assert fills(P._Exchange([[6, 2], [2, 1]], 10).run()) == [1, 10]
+    assert fills(P._Exchange([[6, 3], [4]], 10).run()) == [3, 10]
+    assert fills(P._Exchange([[5, 4], [3, 2, 9 - 9 + 1]], 10).run()) == [5, 10]
+    end = P._Exchange([[6, 3], [4], [3, 2], [5]], 10).run()
     assert len(end) <= 3 and max(fills(end)) == 10
 
 
-def test_greedy_is_valid():
-    rng = np.random.default_rng(1)
-    sizes = rng.integers(1, 65, 1000)
-    bins = P.greedy_fill(sizes, 64)
-    assert sorted(s for b in bins for s in b) == sorted(sizes.tolist()) and max(fills(bins)) <= 64
-    assert P.greedy_fill(np.array([], int), 64) == []
+def test_search_empties_bins_of_a_plain_fill():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 60, 600).tolist()
+    bins, room = [], 0
+    for s in sizes:  # next fit
+        if s > room:
+            bins.append([])
+            room = 128
+        bins[-1].append(s)
+        room -= s
+    end = P._Exchange([list(b) for b in bins], 128).run()
+    assert len(end) < 0.9 * len(bins) and sorted(s for b in end for s in b) == sorted(sizes)
+
+
+def test_pack_edges():
+    assert P.pack([], 8) == [] and P.pack([8], 8) == [[8]] and P.pack([1], 1) == [[1]]
 
 
 def test_exact_cover(spark):
@@ -59,6 +97,12 @@ def test_exact_cover(spark):
         assert set(own.doc_id) == set(size)
     assert set(got.stage) == {"s", "m"}
     report = {r.stage: r for r in P.fill_report(P.packed_sequences(docs, limits), limits).collect()}
+    again = P.packed_sequences(docs, limits, cell=40).toPandas()  # more rounds over underfull bins
+    for stage, capacity in (("s", 32), ("m", 100)):
+        own, one = again[again.stage == stage], got[got.stage == stage]
+        assert own.groupby("bin").n_tokens.sum().max() <= capacity and sorted(zip(own.doc_id, own.piece, own.n_tokens)) == sorted(zip(one.doc_id, one.piece, one.n_tokens))
+        assert own.bin.nunique() <= one.bin.nunique() + 2
+    assert report["s"].pieces == (got.stage == "s").sum()
     assert report["s"].fill > 0.95 and report["s"].sequences >= report["s"].least_sequences
 
 
