@@ -32,20 +32,23 @@ def shingle_sets(texts: DataFrame, k: int = 5) -> DataFrame:
     return texts.select("id", F.array_sort(F.transform(tx.shingles("text", k), lambda s: F.xxhash64(s))).alias("s"))
 
 
-def _blocked(rows: DataFrame, keys: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a self-join on keys, in which a key with many rows is cut to pairs of blocks."""
+def blocked(rows: DataFrame, keys: list[str], by: str = "id", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on keys, in which a key with many rows is cut to pairs of blocks of ``by``.
+
+    Rows of the pair of blocks (p, o) have p <= o; the left side has the rows of block p, the right side those of o.
+    """
     # counts are pre-aggregated and joined back, so that the rows of a hot key pass no single task
     rows = materialize(rows, "keyed")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    cut = rows.join(counts, keys).withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    cut = rows.join(counts, keys).withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64(by), blocks).cast("int"))
     left = cut.select("*", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("o")).withColumnRenamed("b", "p")
     right = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("p")).withColumnRenamed("b", "o")
     return left.drop("n", "blocks"), right.drop("n", "blocks")
 
 
 def _self_pairs(rows: DataFrame, keys: list[str], condition: Column, *select: Column) -> DataFrame:
-    left, right = _blocked(rows, keys)
+    left, right = blocked(rows, keys)
     on = ((F.col("l.p") < F.col("l.o")) | (F.col("l.id") < F.col("r.id"))) & (F.col("l.id") != F.col("r.id")) & condition
     for k in (*keys, "p", "o"):
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
