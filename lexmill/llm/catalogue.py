@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import consensus, garble, leak, lookalike, mixing, neardup, packing, spans
-from lexmill.session import spread
+from lexmill.session import materialize, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,15 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items whose texts of the same field look the same but are different strings."""
-    forms = lookalike.item_forms(table(spark, sf_dir, "items"))
-    return lookalike.same_look_pairs(forms, "id")
+    return lookalike.same_look_pairs(lookalike.item_forms(table(spark, sf_dir, "items"), "skeleton"), "id")
 
 
 @query
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item's sentences in the consistent form."""
-    forms = lookalike.item_forms(table(spark, sf_dir, "items"))
-    return forms.select("id", "field", "form")
+    """Every item's sentences in the consistent form, with the class of those that look the same."""
+    forms = materialize(lookalike.item_forms(table(spark, sf_dir, "items")), "forms")
+    return lookalike.look_classes(forms, "id").select("id", "field", "form", "class_id")
 
 
 # ---- 8: long exact spans shared between records
@@ -160,7 +159,7 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "items")
-    return neardup.item_word_sets(p1_found(spark, sf_dir), lookalike.item_forms(items))
+    return neardup.item_word_sets(p1_found(spark, sf_dir), lookalike.item_forms(items, "form"))
 
 
 @query

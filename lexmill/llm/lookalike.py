@@ -5,13 +5,16 @@ a broadcast join with a fixed table replaces each code point by its decompositio
 mapped to one prototype (invisible ones to nothing), combining marks are ordered by their class behind
 their base letter, and words and texts are rebuilt and recomposed.
 
-Two results per text:
+Two results per text, each made only if it is wanted:
 
 ``skeleton``  equal for any two texts that look the same; look-alike letters stand as Latin prototypes.
 ``form``      the readable form: the skeleton with each word written back in the script that its
               unambiguous letters show (words of look-alikes only follow the rest of the text).  It is a
               function of the skeleton, so it is just as consistent.
 
+The look-alikes are a parameter: :data:`LOOKALIKE` holds the letters and signs that European, Gujarati and Armenian
+texts meet; :func:`read_confusables` makes a table of a file in the format of Unicode's confusables.txt.
+
 Defined cases: a null text has null results; a blank or invisible text has ``''``; repeated rows give one
 row; an id with several texts gives a row for each; other columns of the input are ignored whatever their
 names; an empty table gives no rows; a text of any length is processed whole.
@@ -22,12 +25,14 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.operators.dedup import blocked
 from lexmill.session import materialize
 
 # Letters of other scripts with the shape of a Latin letter.
@@ -72,7 +77,22 @@ def _joined(decomposition: list[int]) -> bool:
     return len(decomposition) > 1 and all(chr(c).isalpha() or c == 0x2E for c in decomposition)
 
 
-def fold_char(ch: str) -> str:
+def read_confusables(path: str) -> dict[str, str]:
+    """Look-alikes from lines ``source ; target ; kind # remark`` of hexadecimal code points, with one source each.
+
+    ASCII characters stay as they are: they are the prototypes that other characters are mapped to.
+    """
+    found = {}
+    for line in Path(path).read_text(encoding="utf-8-sig").splitlines():
+        parts = [p.strip() for p in line.split("#")[0].split(";")]
+        if len(parts) >= 2 and parts[0] and " " not in parts[0]:
+            source, target = (("".join(chr(int(c, 16)) for c in p.split())) for p in parts[:2])
+            if not source.isascii() and source != target:
+                found[source] = target
+    return found
+
+
+def fold_char(ch: str, like: dict[str, str] = LOOKALIKE) -> str:
     """What one character becomes: decomposed, look-alikes mapped, '' if invisible, ' ' if white space."""
     cp = ord(ch)
     if ch in _SPACES:
@@ -80,34 +100,43 @@ def fold_char(ch: str) -> str:
     category = unicodedata.category(ch)
     if cp in _HIDDEN or (category == "Cf" and cp not in _VISIBLE_FORMAT) or (category == "Cc" and (cp < 0x20 or cp == 0x7F)):
         return ""
-    if ch in LOOKALIKE:
-        return LOOKALIKE[ch]
+    if ch in like:
+        return like[ch]
     parts = unicodedata.decomposition(ch).split()
     if parts:
         kind = parts.pop(0) if parts[0][0] == "<" else ""
         to = [int(p, 16) for p in parts]
         if not kind or kind in _SAME_LOOK or (kind == "<compat>" and cp not in (0x2116, 0x17F) and (_joined(to) or cp == 0xB5)):
-            return "".join(fold_char(chr(c)) for c in to)
+            return "".join(fold_char(chr(c), like) for c in to)
     return ch
 
 
 @functools.cache
-def fold_table() -> dict[str, str]:
+def _default_table() -> dict[str, str]:
+    return _make_table(LOOKALIKE)
+
+
+def fold_table(like: dict[str, str] | None = None) -> dict[str, str]:
     """Every character that changes, by rule from the Unicode data; Hangul syllables stay composed."""
+    return _default_table() if like is None else _make_table(like)
+
+
+def _make_table(like: dict[str, str]) -> dict[str, str]:
     found = {}
     for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
             continue
         ch = chr(cp)
-        if (to := fold_char(ch)) != ch:
+        if (to := fold_char(ch, like)) != ch:
             found[ch] = to
     return found
 
 
-def fold_frame(spark: SparkSession) -> DataFrame:
+def fold_frame(spark: SparkSession, like: dict[str, str] | None = None) -> DataFrame:
     """The table as rows (ch, to: code points with their combining class).  Its size is fixed by Unicode."""
+    table = fold_table(like)
     marks = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
-    rows = [(ch, [(c, unicodedata.combining(c)) for c in fold_table().get(ch, ch)]) for ch in sorted(marks | fold_table().keys())]
+    rows = [(ch, [(c, unicodedata.combining(c)) for c in table.get(ch, ch)]) for ch in sorted(marks | table.keys())]
     pdf = pd.DataFrame({"ch": [r[0] for r in rows], "to": [[{"c": c, "k": k} for c, k in r[1]] for r in rows]})
     return spark.createDataFrame(pdf, T.StructType([T.StructField("ch", T.StringType()), T.StructField("to", T.ArrayType(T.StructType([T.StructField("c", T.StringType()), T.StructField("k", T.IntegerType())])))]))
 
@@ -125,7 +154,7 @@ def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else _recompose(x))
 
 
-def fold_words(words: DataFrame) -> DataFrame:
+def fold_words(words: DataFrame, like: dict[str, str] | None = None) -> DataFrame:
     """(word) -> (word, skeleton, form, other, script); ``words`` holds distinct words.
 
     ``script`` is c, g, l or m (Cyrillic, Greek, Latin, mixed or none of them) by the unambiguous letters,
@@ -133,7 +162,7 @@ def fold_words(words: DataFrame) -> DataFrame:
     """
     spark = words.sparkSession
     chars = words.select("word", F.posexplode(F.split("word", "")).alias("at", "ch"))
-    mapped = chars.join(F.broadcast(fold_frame(spark)), "ch", "left")
+    mapped = chars.join(F.broadcast(fold_frame(spark, like)), "ch", "left")
     mapped = mapped.select("word", "at", F.posexplode(F.coalesce("to", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("k"))))).alias("sub", "x"))
     base = Window.partitionBy("word").orderBy("at", "sub")
     placed = mapped.select("word", "at", "sub", "x.c", "x.k", F.sum((F.col("x.k") == 0).cast("int")).over(base).alias("base"))
@@ -158,56 +187,73 @@ def fold_words(words: DataFrame) -> DataFrame:
     )
 
 
-def consistent_texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id_col, field, text, skeleton, form), one row for each distinct id, field and text."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    every = df.select(F.col(id_col).alias("id"), pairs.alias("p")).select("id", "p.field", "p.text").distinct()
-    # nothing in ASCII has a look-alike but white space and control characters: such texts need no exploding
-    ascii_only = F.col("text").isNull() | F.col("text").rlike(r"\A[\x00-\x7f]*\z")
+def consistent_texts(df: DataFrame, id_col: str, fields: list[str], want: tuple[str, ...] = ("skeleton", "form"), like: dict[str, str] | None = None, direct: bool = True) -> DataFrame:
+    """(id_col, field, h, wanted...), one row for each distinct id, field and text; ``h`` is the text's 64-bit hash.
+
+    ``direct``: texts and words of ASCII characters that the table maps to themselves aren't exploded; the
+    results are the same without it.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("text")) for i, f in enumerate(fields)]))
+    every = df.select(F.col(id_col).alias("id"), named.alias("p")).select("id", "p.f", "p.text")
+    every = every.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
+    # nothing in ASCII has a look-alike but white space and control characters
+    ascii_only = F.col("text").rlike(r"\A[\x00-\x7f]*\z") if direct else F.lit(False)
+    simple = F.col("text").isNull() | ascii_only | (F.size(words) == 0)
     bare = F.regexp_replace("text", r"[\x00-\x08\x0e-\x1b\x7f]", "")
-    simple = F.regexp_replace(F.regexp_replace(bare, SPACE + "+", " "), r"\A | \z", "")
-    direct = every.filter(ascii_only).select(F.col("id").alias(id_col), "field", "text", simple.alias("skeleton"), simple.alias("form"))
-    texts = every.filter(~ascii_only).withColumn("h", F.xxhash64("text"))
-    tokens = texts.select("id", "field", "h", F.posexplode(F.split("text", SPACE + "+")).alias("at", "word")).filter("word <> ''")
-    plain = F.col("word").rlike(rf"^[\x21-\x7e]*[A-Za-z&&[^{_AMBIGUOUS_LATIN}]][\x21-\x7e]*$") | F.col("word").rlike(r"^[\x21-\x40\x5b-\x60\x7b-\x7e]+$")
-    words = fold_words(tokens.select("word").filter(~plain).distinct())
-    joined = tokens.join(words, "word", "left").select(
-        "id", "field", "h", "at", F.coalesce("skeleton", "word").alias("s"), F.coalesce("form", "word").alias("f"), "other",
-        F.coalesce("script", F.when(F.col("word").rlike("[A-Za-z]"), "l").otherwise("m")).alias("script"),
-    )
-    rebuilt = joined.groupBy("id", "field", "h").agg(
-        F.array_sort(F.collect_list(F.struct("at", "s", "f", "other"))).alias("ws"),
+    bare = F.regexp_replace(F.regexp_replace(bare, SPACE + "+", " "), r"\A | \z", "")
+    plain = F.when(ascii_only, bare).when(F.col("text").isNotNull(), "")
+    short = every.filter(simple).select("id", "f", "h", *[plain.alias(c) for c in want]).distinct()
+    # repeated rows are merged when the texts are rebuilt
+    tokens = every.filter(~simple).select("id", "f", "h", F.posexplode(words).alias("at", "word"))
+    known = F.col("word").rlike(rf"^[\x21-\x7e]*[A-Za-z&&[^{_AMBIGUOUS_LATIN}]][\x21-\x7e]*$") | F.col("word").rlike(r"^[\x21-\x40\x5b-\x60\x7b-\x7e]+$")
+    odd = tokens.select("word").filter(~known) if direct else tokens.select("word")
+    joined = tokens.join(fold_words(odd.distinct(), like), "word", "left")
+    parts = {"skeleton": ["s"], "form": ["f_", "other"]}
+    columns = [c for w in want for c in parts[w]]
+    script = F.coalesce("script", F.when(F.col("word").rlike("[A-Za-z]"), "l").otherwise("m"))
+    joined = joined.select("id", "f", "h", "at", F.coalesce("skeleton", "word").alias("s"), F.coalesce("form", "word").alias("f_"), "other", script.alias("script"))
+    # words that are followed or preceded by nothing visible leave no blank
+    rebuilt = joined.groupBy("id", "f", "h").agg(
+        F.array_sort(F.collect_set(F.when(F.col("s") != "", F.struct("at", *columns)))).alias("ws"),
         (F.count_if(F.col("script") == "c") > F.count_if(F.col("script") == "l")).alias("cyrillic"),
     )
-    shown = F.filter("ws", lambda w: w["s"] != "")
-    rebuilt = rebuilt.select(
-        "id", "field", "h", F.array_join(F.transform(shown, lambda w: w["s"]), " ").alias("skeleton"),
-        F.array_join(F.transform(shown, lambda w: F.when(F.col("cyrillic") & w["other"].isNotNull(), w["other"]).otherwise(w["f"])), " ").alias("form"),
-    )
-    keys = [F.col("t.id").eqNullSafe(F.col("r.id")), F.col("t.field") == F.col("r.field"), F.col("t.h") == F.col("r.h")]
-    worked = texts.alias("t").join(rebuilt.alias("r"), keys, "left").select(
-        F.col("t.id").alias(id_col), F.col("t.field").alias("field"), "text", F.coalesce("skeleton", F.lit("")).alias("skeleton"), F.coalesce("form", F.lit("")).alias("form")
-    )
-    return direct.unionByName(worked)
+    made = {
+        "skeleton": F.array_join(F.transform("ws", lambda w: w["s"]), " "),
+        "form": F.array_join(F.transform("ws", lambda w: F.when(F.col("cyrillic") & w["other"].isNotNull(), w["other"]).otherwise(w["f_"])), " "),
+    }
+    long = rebuilt.select("id", "f", "h", *[made[c].alias(c) for c in want])
+    names = F.array(*[F.lit(f) for f in fields])
+    return short.unionByName(long).select(F.col("id").alias(id_col), F.get(names, "f").alias("field"), "h", *want)
 
 
 def same_look_pairs(forms: DataFrame, id_col: str) -> DataFrame:
     """(id_1, id_2, field): rows of :func:`consistent_texts` that look the same but are different strings.
 
     Pairs are made between the distinct spellings of a look only and then expanded, so that any number of
-    exact copies makes no candidate that is not a result.
+    exact copies makes no candidate that is not a result.  A look of many spellings is cut to pairs of blocks.
     """
-    rows = forms.filter("text is not null").select(F.col(id_col).alias("id"), "field", F.md5("skeleton").alias("k"), F.md5("text").alias("v"))
-    several = rows.groupBy("field", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("field", "k")
-    rows = rows.join(several, ["field", "k"])
-    kinds = rows.select("field", "k", "v").distinct()
-    pairs = kinds.alias("a").join(kinds.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.v") < F.col("b.v")))
-    pairs = pairs.select("a.field", "a.k", F.col("a.v").alias("v1"), F.col("b.v").alias("v2"))
+    looks = forms.filter("h is not null").select(F.col(id_col).alias("id"), "field", F.md5("skeleton").alias("k"), F.col("h").alias("v"))
+    looks = materialize(looks.filter("id is not null"), "looks")
+    several = looks.groupBy("field", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("field", "k")
+    rows = materialize(looks.join(several, ["field", "k"]), "several")
+    left, right = blocked(rows.select("field", "k", "v").distinct(), ["field", "k"], "v")
+    on = ((F.col("l.p") < F.col("l.o")) | (F.col("l.v") < F.col("r.v"))) & (F.col("l.v") != F.col("r.v"))
+    for c in ("field", "k", "p", "o"):
+        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    pairs = left.alias("l").join(right.alias("r"), on).select("l.field", "l.k", F.col("l.v").alias("v1"), F.col("r.v").alias("v2"))
     one = pairs.join(rows.select("field", "k", F.col("v").alias("v1"), F.col("id").alias("x")), ["field", "k", "v1"])
     two = one.join(rows.select("field", "k", F.col("v").alias("v2"), F.col("id").alias("y")), ["field", "k", "v2"]).filter("x <> y")
     return two.select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "field").distinct()
 
 
+def look_classes(forms: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``class_id``: the smallest id with a text of the same look in the same field; null for null texts."""
+    keyed = forms.withColumn("k", F.md5("skeleton"))
+    first = keyed.filter("k is not null").groupBy("field", "k").agg(F.min(id_col).alias("class_id"))
+    return keyed.join(first, ["field", "k"], "left").drop("k")
+
+
 def fold_text(text: str) -> str:
     """The skeleton of a text in plain Python, for use inside Arrow functions."""
     if text.isascii():
@@ -223,6 +269,6 @@ def _translation() -> dict[int, str]:
     return {ord(a): b for a, b in fold_table().items()}
 
 
-def item_forms(items: DataFrame) -> DataFrame:
-    """The forms of both sentences of the items, written once because several consumers read them."""
-    return materialize(consistent_texts(items, "id", ["sentence_a", "sentence_b"]), "forms")
+def item_forms(items: DataFrame, *want: str) -> DataFrame:
+    """The forms of both sentences of the items."""
+    return consistent_texts(items, "id", ["sentence_a", "sentence_b"], want or ("skeleton", "form"))
