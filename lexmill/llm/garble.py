@@ -2,7 +2,8 @@
 
 Every distinct word of a clean corpus, and every distinct run of non-ASCII characters in it (accents and
 signs inside or between ASCII words), is garbled by all encoding chains.  The words and runs of the examined
-texts that the clean corpus doesn't hold are hash-joined with that table; a hit gives the original.  Runs
+texts that the clean corpus doesn't hold are hash-joined with that table, from which a bit set of those words and
+runs has removed what can't match before it is shuffled; a hit gives the original.  Runs
 that no clean word explains are decoded backwards, strictly, as an exact check for words the clean corpus
 lacks, and U+FFFD shows a loss in any case.
 
@@ -17,32 +18,45 @@ clean corpus only the backward check and U+FFFD are left.
 
 from __future__ import annotations
 
+import codecs
+import functools
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.bits import bit_set, bits_for
 from lexmill.llm.lookalike import SPACE, fold_text
-from lexmill.session import materialize
+from lexmill.session import materialize, parallelism
 
 _LATIN = ("cp1252", "cp437", "cp850", "mac_roman", "latin_1")
 _CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 _READ_AS = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp437", "cp866", "cp850", "mac_roman", "mac_cyrillic", "iso8859_5", "cp1250", "iso8859_15")
 _TWICE = ("latin_1", "cp1252", "cp1252?", "cp1251")
 LOST = "�"
+SHARE = 20_000  #: clean units that a task garbles
+
+
+@functools.cache
+def _table(encoding: str) -> str:
+    """The 256 characters of a one-byte encoding; bytes it lacks stay as control characters, or are lost with '?'."""
+    name, lossy = encoding.rstrip("?"), encoding.endswith("?")
+    each = (bytes([b]).decode(name, "replace") for b in range(256))
+    return "".join(chr(b) if c == LOST and not lossy else c for b, c in enumerate(each))
 
 
 def _decode(data: bytes, encoding: str) -> str:
-    """Bytes read in a one-byte encoding; bytes it lacks stay as control characters, or are lost with '?'."""
-    if encoding.endswith("?"):
-        return data.decode(encoding[:-1], "replace")
-    out = data.decode(encoding, "replace")
-    if LOST in out:
-        out = "".join(chr(b) if c == LOST else c for c, b in zip(out, data, strict=True))
-    return out
+    return codecs.charmap_decode(data, "strict", _table(encoding))[0]
+
+
+@functools.cache
+def _writable(encoding: str) -> frozenset[str]:
+    """The characters that a one-byte encoding has."""
+    return frozenset(c for c in map(lambda b: bytes([b]).decode(encoding, "ignore"), range(256)) if c)
 
 
 def _encode(text: str, encoding: str) -> bytes | None:
@@ -126,6 +140,28 @@ def garbled_forms(unit: str, whole: bool, weak: bool = False) -> list[tuple[str,
     return list(out.items())
 
 
+def all_forms(units: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(places of units, their forms) by each chain and each clean-up, for many units at once; nothing is left out."""
+    for chain in CHAINS:
+        places, text = list(range(len(units))), "\n".join(units)
+        for step in chain:
+            written, read = step.split(">")
+            if written != "utf_8":
+                known = _writable(written)
+                kept = [(i, line) for i, line in zip(places, text.split("\n"), strict=True) if known.issuperset(line)]
+                places, text = [i for i, _ in kept], "\n".join(line for _, line in kept)
+            text = _decode(text.encode(written), read)
+            if not places:
+                break
+        if not places:
+            continue
+        yield places, text.split("\n")
+        if chain[0].startswith("utf_8>"):
+            for short in _lossy(text):
+                if short != text:
+                    yield places, short.split("\n")
+
+
 _UTF8 = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp437", "cp866", "cp850", "mac_roman")
 
 
@@ -179,21 +215,40 @@ _BROKEN = "([Ãà]) (?=[ªÂ«â])"
 
 def _units(texts: DataFrame, keys: list[str], space: str) -> DataFrame:
     """(keys..., kind, unit): words (w) and runs (r) with non-ASCII characters."""
-    tokens = texts.select(*keys, F.explode(F.split("text", space)).alias("t")).filter(F.col("t").rlike(_RUN))
+    tokens = texts.filter(F.col("text").rlike(_RUN)).select(*keys, F.explode(F.split("text", space)).alias("t")).filter(F.col("t").rlike(_RUN))
     word = F.regexp_replace("t", f"^{_EDGE}|{_EDGE}$", "")
     runs = F.transform(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({_RUN})"), 1)), lambda r: F.struct(F.lit("r").alias("kind"), r.alias("unit")))
     both = F.concat(F.array(F.struct(F.lit("w").alias("kind"), word.alias("unit"))), runs)
     return tokens.select(*keys, F.explode(both).alias("u")).select(*keys, "u.kind", "u.unit")
 
 
-def garbled_table(clean: DataFrame, weak: bool = False) -> DataFrame:
-    """(kind, form, original, chain, n): garbled forms of the clean units (kind, unit, n)."""
-    # partitions by size of the words would be few: the table is some tens of times as large as they are
-    clean = clean.repartition(max(8, clean.sparkSession.sparkContext.defaultParallelism * 2))
+def garbled_table(clean: DataFrame, wanted: DataFrame, weak: bool = False) -> DataFrame:
+    """(kind, form, original, chain, n): garbled forms of the clean units (kind, unit, n) that may be among
+    ``wanted`` (unit).
+
+    All forms are made, but only those in a bit set of the wanted units leave their task; it lets some others
+    pass and keeps none back.
+    """
+    bits = bits_for(wanted.count())
+    mask = (1 << bits) - 1
+    shared = clean.sparkSession.sparkContext.broadcast(bit_set(wanted, F.crc32("unit").bitwiseAND(F.lit(mask)), bits))
+    # partitions by size of the words would be few: the forms are some hundred times as large as they are
+    clean = clean.repartition(max(parallelism(clean.sparkSession), -(-clean.count() // SHARE)))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, crc = shared.value, zlib.crc32
+
+        def may_be_wanted(form: str) -> bool:
+            at = crc(form.encode()) & mask
+            return have[at >> 3] >> (at & 7) & 1 == 1
+
         for pdf in batches:
-            rows = [(kind, form, unit, chain, n) for kind, unit, n in zip(pdf["kind"], pdf["unit"], pdf["n"], strict=True) for form, chain in garbled_forms(unit, kind == "w", weak)]
+            units = pdf["unit"].tolist()
+            some = {i for places, forms in all_forms(units) for i, f in zip(places, forms, strict=True) if may_be_wanted(f)} if units else ()
+            rows = []
+            for i in sorted(some):
+                kind, unit, n = pdf["kind"].iat[i], units[i], pdf["n"].iat[i]
+                rows += [(kind, form, unit, chain, n) for form, chain in garbled_forms(unit, kind == "w", weak) if may_be_wanted(form)]
             yield pd.DataFrame(rows, columns=["kind", "form", "original", "chain", "n"])
 
     return clean.mapInPandas(make, "kind string, form string, original string, chain string, n long")
@@ -214,10 +269,10 @@ def garbled_units(texts: DataFrame, clean_texts: DataFrame) -> tuple[DataFrame,
     garbled ones, the clean units and the clean characters."""
     clean = materialize(_units(clean_texts, [], SPACE + "+").groupBy("kind", "unit").agg(F.count("*").alias("n")), "clean")
     alphabet = clean_alphabet(clean)
-    units = materialize(_units(_healed(texts), ["id"], _PLAIN_SPACE).distinct().join(clean, ["kind", "unit"], "left_anti"), "units")
-    odd = units.select("kind", "unit").distinct()
-    table = garbled_table(clean)
-    # Spark takes the table to be as small as the words it is made from; without the hint it would broadcast it
+    units = materialize(_units(_healed(texts), ["id"], _PLAIN_SPACE).join(clean, ["kind", "unit"], "left_anti").distinct(), "units")
+    odd = materialize(units.select("kind", "unit").distinct(), "odd")
+    table = garbled_table(clean, odd)
+    # Spark can't foresee the table's size; without the hint it would broadcast it
     hits = odd.join(table.hint("merge"), (odd.kind == table.kind) & (odd.unit == table.form)).groupBy(odd.kind, odd.unit)
     hits = hits.agg(F.max(F.struct("n", "original", "chain")).alias("b")).select("kind", "unit", "b.original", "b.chain")
     hits = materialize(hits, "hits")
@@ -262,8 +317,8 @@ def restored_records(df: DataFrame, id_col: str, text_col: str, clean_texts: Dat
     units, found, clean, alphabet = garbled_units(texts, clean_texts)
     strong = materialize(units.join(found, ["kind", "unit"]), "strong")
     # words too short to prove anything count in records that have a longer word of the same chain
-    short = strong.select("id", "chain").distinct().join(units.join(found, ["kind", "unit"], "left_anti"), "id")
-    weak = garbled_table(clean, weak=True).groupBy("kind", "form", "chain").agg(F.max(F.struct("n", "original"))["original"].alias("original"))
+    short = materialize(strong.select("id", "chain").distinct().join(units.join(found, ["kind", "unit"], "left_anti"), "id"), "short")
+    weak = garbled_table(clean, short.select("unit").distinct(), weak=True).groupBy("kind", "form", "chain").agg(F.max(F.struct("n", "original"))["original"].alias("original"))
     short = short.join(weak.withColumnRenamed("form", "unit").hint("merge"), ["kind", "unit", "chain"])
     pairs = strong.unionByName(short).groupBy("id").agg(F.collect_set(F.struct("kind", "unit", "original")).alias("pairs"))
 

@@ -39,8 +39,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.bits import bit_set
 from lexmill.llm.lookalike import fold_text
-from lexmill.session import materialize, release
+from lexmill.session import materialize
 
 WINDOW = 8  #: words in a row that make a leak
 RANK = 48  #: dimensions of the latent space
@@ -161,13 +162,7 @@ def test_sentences(tests: DataFrame, id_col: str, fields: list[str]) -> DataFram
 
 
 def vocabulary_bits(sentences: DataFrame) -> bytes:
-    """The test vocabulary as a bit set; the driver gets at most one row for each of its 2^21 bytes."""
-    at = F.col("w").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = sentences.select(F.explode("ids").alias("w")).select(F.shiftright(at, 3).alias("byte"), F.get(F.array(*[F.lit(1 << k) for k in range(8)]), at.bitwiseAND(F.lit(7)).cast("int")).alias("bit"))
-    rows = words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
-    return out.tobytes()
+    return bit_set(sentences.select(F.explode("ids").alias("w")), F.col("w").bitwiseAND(F.lit((1 << BITS) - 1)), BITS)
 
 
 def _column(ids: np.ndarray) -> np.ndarray:

@@ -1,6 +1,10 @@
+import zlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import garble as G
+from lexmill.llm.bits import bit_set, bits_for
 
 SCHEMA = "id int, text string, unit string, kind int"
 CLEAN = [
@@ -82,3 +86,33 @@ def test_forms_come_from_their_chain(chain):
                 assert data is not None
                 text = data.decode(written)
             assert text == word
+
+
+def test_all_forms_at_once_hold_each_single_form():
+    units = ["été", "быстрые", "ગામ", "’", "Übermut", "щиты", "5 €".replace(" ", ""), "àÂ", "x", "ё"]
+    have = [set() for _ in units]
+    for places, forms in G.all_forms(units):
+        for i, f in zip(places, forms, strict=True):
+            have[i].add(f)
+    for i, unit in enumerate(units):
+        for weak in (False, True):
+            assert {f for f, _ in G.garbled_forms(unit, True, weak)} <= have[i]
+
+
+def test_decoding_like_the_codecs():
+    data = bytes(range(256))
+    for encoding in {step.split(">")[1] for chain in G.CHAINS for step in chain}:
+        want = data.decode(encoding.rstrip("?"), "replace")
+        got = G._decode(data, encoding)
+        assert all(a == b or (a == G.LOST and b == chr(k)) for k, (a, b) in enumerate(zip(want, got, strict=True)))
+        assert encoding.endswith("?") or G.LOST not in got
+
+
+def test_bit_set_keeps_all_members(spark):
+    rows = spark.range(5000).selectExpr("concat('wört', id) AS unit")
+    bits = bits_for(100)  # far too small, so that many strangers pass
+    have = bit_set(rows, F.crc32("unit").bitwiseAND(F.lit((1 << bits) - 1)), bits)
+    for k in range(5000):
+        at = zlib.crc32(f"wört{k}".encode()) & ((1 << bits) - 1)
+        assert have[at >> 3] >> (at & 7) & 1
+    assert bits_for(10**12) == 27 and len(bit_set(rows.limit(0), F.lit(1), 12)) == 512
