@@ -22,12 +22,13 @@ import codecs
 import functools
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.bits import bit_set, bits_for
 from lexmill.llm.lookalike import SPACE, fold_text
@@ -140,26 +141,47 @@ def garbled_forms(unit: str, whole: bool, weak: bool = False) -> list[tuple[str,
     return list(out.items())
 
 
-def all_forms(units: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """(places of units, their forms) by each chain and each clean-up, for many units at once; nothing is left out."""
+def all_forms(units: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+    """(places of units, their forms as lines) by each chain and each clean-up, for many units at once; nothing is left out."""
+    everything = np.arange(len(units))
     for chain in CHAINS:
-        places, text = list(range(len(units))), "\n".join(units)
+        places, text = everything, "\n".join(units)
         for step in chain:
             written, read = step.split(">")
             if written != "utf_8":
                 known = _writable(written)
-                kept = [(i, line) for i, line in zip(places, text.split("\n"), strict=True) if known.issuperset(line)]
-                places, text = [i for i, _ in kept], "\n".join(line for _, line in kept)
+                lines = text.split("\n")
+                kept = [k for k, line in enumerate(lines) if known.issuperset(line)]
+                places, text = places[kept], "\n".join([lines[k] for k in kept])
             text = _decode(text.encode(written), read)
-            if not places:
+            if not len(places):
                 break
-        if not places:
+        if not len(places):
             continue
-        yield places, text.split("\n")
+        yield places, text
         if chain[0].startswith("utf_8>"):
             for short in _lossy(text):
                 if short != text:
-                    yield places, short.split("\n")
+                    yield places, short
+
+
+def line_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each line, equal in every process."""
+    points = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(points == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    at = np.arange(len(points)) - np.repeat(starts, ends - starts + 1)
+    x = points * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x[ends] = 0
+    x = np.add.reduceat(x, starts) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@F.pandas_udf(T.LongType())
+def _unit_hash(units: pd.Series) -> pd.Series:
+    return pd.Series(line_hashes("\n".join(units)).view(np.int64) if len(units) else [], dtype="int64")
 
 
 _UTF8 = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp437", "cp866", "cp850", "mac_roman")
@@ -231,24 +253,28 @@ def garbled_table(clean: DataFrame, wanted: DataFrame, weak: bool = False) -> Da
     """
     bits = bits_for(wanted.count())
     mask = (1 << bits) - 1
-    shared = clean.sparkSession.sparkContext.broadcast(bit_set(wanted, F.crc32("unit").bitwiseAND(F.lit(mask)), bits))
+    shared = clean.sparkSession.sparkContext.broadcast(bit_set(wanted, _unit_hash("unit").bitwiseAND(F.lit(mask)), bits))
     # partitions by size of the words would be few: the forms are some hundred times as large as they are
     clean = clean.repartition(max(parallelism(clean.sparkSession), -(-clean.count() // SHARE)))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have, crc = shared.value, zlib.crc32
+        have = np.frombuffer(shared.value, np.uint8)
 
-        def may_be_wanted(form: str) -> bool:
-            at = crc(form.encode()) & mask
-            return have[at >> 3] >> (at & 7) & 1 == 1
+        def wanted_lines(text: str) -> np.ndarray:
+            at = line_hashes(text) & np.uint64(mask)
+            return (have[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
         for pdf in batches:
-            units = pdf["unit"].tolist()
-            some = {i for places, forms in all_forms(units) for i, f in zip(places, forms, strict=True) if may_be_wanted(f)} if units else ()
-            rows = []
-            for i in sorted(some):
+            units, rows = pdf["unit"].tolist(), []
+            some = np.zeros(len(units), bool)
+            for places, text in all_forms(units) if units else ():
+                some[places[wanted_lines(text)]] = True
+            for i in np.flatnonzero(some):
                 kind, unit, n = pdf["kind"].iat[i], units[i], pdf["n"].iat[i]
-                rows += [(kind, form, unit, chain, n) for form, chain in garbled_forms(unit, kind == "w", weak) if may_be_wanted(form)]
+                forms = garbled_forms(unit, kind == "w", weak)
+                if forms:
+                    keep = wanted_lines("\n".join([f for f, _ in forms]))
+                    rows += [(kind, form, unit, chain, n) for (form, chain), k in zip(forms, keep, strict=True) if k]
             yield pd.DataFrame(rows, columns=["kind", "form", "original", "chain", "n"])
 
     return clean.mapInPandas(make, "kind string, form string, original string, chain string, n long")
