@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ SIDE = W - 1  #: a span through a window reaches at most so far beyond it
 PIECE = 1 << 19  #: characters hashed at once
 ROWS = 3  #: hash functions of the sketch
 CHUNK = 1 << 16  #: cells of the sketch that travel together
+SALTS = 64  #: groups in which the partitions' chunks are summed first
 MAX_BITS = 26  #: largest sketch: 2^26 cells a row, 24 MB when broadcast; past it more windows pass, none is lost
 
 _B = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -147,7 +149,13 @@ def _hash_sketch(batches: Iterator[np.ndarray], bits: int) -> Iterator[pd.DataFr
             for c in range(max(1, (1 << bits) // CHUNK)):
                 chunk = counts[r, c * CHUNK : (c + 1) * CHUNK]
                 if chunk.any():
-                    yield pd.DataFrame({"r": [r], "c": [c], "salt": [int(np.random.randint(64))], "data": [zlib.compress(chunk.tobytes(), 1)]})
+                    # the salt is the same when the task runs again, so that no chunk is lost or counted twice
+                    yield pd.DataFrame({"r": [r], "c": [c], "salt": [_task() % SALTS], "data": [zlib.compress(chunk.tobytes(), 1)]})
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context is not None else 0
 
 
 def _sum_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,15 +166,20 @@ def _sum_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": pdf["r"].iloc[:1], "c": pdf["c"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
 
 
+def _twice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The summed chunk as one bit a cell: counted at least twice."""
+    total = np.frombuffer(zlib.decompress(_sum_chunks(pdf)["data"].iat[0]), np.uint8)
+    return pd.DataFrame({"r": pdf["r"].iloc[:1], "c": pdf["c"].iloc[:1], "data": [zlib.compress(np.packbits(total >= 2).tobytes(), 1)]})
+
+
 def merged_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     """Sum of all partitions' sketches as one bit a cell: counted at least twice.  Its size is 3 * 2^bits bits."""
     once = parts.groupBy("r", "c", "salt").applyInPandas(_sum_chunks, "r int, c int, data binary")
-    both = once.groupBy("r", "c").applyInPandas(_sum_chunks, "r int, c int, data binary")
-    twice = np.zeros((ROWS, 1 << bits), bool)
+    both = once.groupBy("r", "c").applyInPandas(_twice, "r int, c int, data binary")  # at most SALTS rows a group
+    out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     for row in both.toLocalIterator():
-        chunk = np.frombuffer(zlib.decompress(row.data), np.uint8)
-        twice[row.r, row.c * CHUNK : row.c * CHUNK + len(chunk)] = chunk >= 2
-    return np.packbits(twice, axis=1)
+        out[row.r, row.c * CHUNK // 8 : (row.c + 1) * CHUNK // 8] = np.frombuffer(zlib.decompress(row.data), np.uint8)
+    return out
 
 
 def _repeated(h: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
