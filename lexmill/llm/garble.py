@@ -179,9 +179,24 @@ def line_hashes(text: str) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@F.pandas_udf(T.LongType())
-def _unit_hash(units: pd.Series) -> pd.Series:
-    return pd.Series(line_hashes("\n".join(units)).view(np.int64) if len(units) else [], dtype="int64")
+PROBES = 3  #: places of a unit in the bit set
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """(PROBES, lines) places below 2^bits."""
+    odd = (np.arange(PROBES, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return (hashes * odd[:, None]) >> np.uint64(64 - bits)
+
+
+def _wanted_bits(units: DataFrame) -> tuple[bytes, int]:
+    """The units (unit) as a bit set with PROBES places each, and its size."""
+    bits = bits_for(4 * units.count())
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def places(s: pd.Series) -> pd.Series:
+        return pd.Series(list(_probes(line_hashes("\n".join(s)), bits).T.astype(np.int64)) if len(s) else [], dtype=object)
+
+    return bit_set(units.select(F.explode(places("unit")).alias("at")), F.col("at"), bits), bits
 
 
 _UTF8 = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp437", "cp866", "cp850", "mac_roman")
@@ -251,18 +266,16 @@ def garbled_table(clean: DataFrame, wanted: DataFrame, weak: bool = False) -> Da
     All forms are made, but only those in a bit set of the wanted units leave their task; it lets some others
     pass and keeps none back.
     """
-    bits = bits_for(wanted.count())
-    mask = (1 << bits) - 1
-    shared = clean.sparkSession.sparkContext.broadcast(bit_set(wanted, _unit_hash("unit").bitwiseAND(F.lit(mask)), bits))
+    shared = clean.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
     # partitions by size of the words would be few: the forms are some hundred times as large as they are
     clean = clean.repartition(max(parallelism(clean.sparkSession), -(-clean.count() // SHARE)))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have = np.frombuffer(shared.value, np.uint8)
+        have, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
 
         def wanted_lines(text: str) -> np.ndarray:
-            at = line_hashes(text) & np.uint64(mask)
-            return (have[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at = _probes(line_hashes(text), bits)
+            return ((have[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1).all(axis=0)
 
         for pdf in batches:
             units, rows = pdf["unit"].tolist(), []

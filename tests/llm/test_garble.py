@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,11 +109,14 @@ def test_decoding_like_the_codecs():
 
 def test_bit_set_keeps_all_members(spark):
     rows = spark.range(5000).selectExpr("concat('wört', id) AS unit")
-    bits = bits_for(100)  # far too small, so that many strangers pass
-    have = bit_set(rows, G._unit_hash("unit").bitwiseAND(F.lit((1 << bits) - 1)), bits)
-    for h in G.line_hashes("\n".join(f"wört{k}" for k in range(5000))).tolist():
-        at = h & ((1 << bits) - 1)
-        assert have[at >> 3] >> (at & 7) & 1
+    data, bits = G._wanted_bits(rows)
+    have = np.frombuffer(data, np.uint8)
+
+    def inside(lines):
+        at = G._probes(G.line_hashes("\n".join(lines)), bits)
+        return ((have[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1).all(axis=0)
+
+    assert inside([f"wört{k}" for k in range(5000)]).all() and inside([f"word{k}" for k in range(20_000)]).mean() < 0.002
     assert bits_for(10**12) == 27 and len(bit_set(rows.limit(0), F.lit(1), 12)) == 512
 
 
