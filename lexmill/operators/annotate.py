@@ -104,3 +104,24 @@ def percentile_triplets(scored: DataFrame, upper: float = 0.7, lower: float = 0.
     pos = with_cuts.filter("score >= hi").select(sample.salted(f"{seed}p", "item_id").alias("p_key"), F.col("sentence_a").alias("anchor"), F.col("sentence_b").alias("positive"))
     neg = with_cuts.filter("score <= lo").select(sample.salted(f"{seed}n", "item_id").alias("n_key"), F.col("sentence_b").alias("negative"))
     return sample.zipped(pos, neg, ["p_key"], ["n_key"]).filter("positive <> negative").select("anchor", "positive", "negative")
+
+
+def derived_status(items: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The items with their status by the log: gold items stay gold, others are labeled if they have a label.
+
+    The log is append-only, so the status is never stored a second time and can't lag behind.
+    """
+    done = annotations.filter("label is not null").select(F.col("item_id").alias("id")).distinct().withColumn("done", F.lit(True))
+    status = F.when(F.col("status") == "gold", "gold").when(F.col("done"), "labeled").otherwise("pending")
+    return items.join(done, "id", "left").withColumn("status", status).select(*items.columns)
+
+
+def new_rows(rows: DataFrame, existing: DataFrame, *order: str) -> DataFrame:
+    """Adds ``id``: numbers behind the largest id of the existing table, in the order of the given columns."""
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    return sample.numbered(rows, *order).crossJoin(F.broadcast(last)).withColumn("id", (F.col("idx") + F.col("last") + 1)).drop("idx", "last")
+
+
+def annotation_rows(answers: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows of the annotation table from answers(item_id, annotator_id, label), created now."""
+    return new_rows(answers.select("item_id", "annotator_id", "label"), existing, "item_id", "annotator_id", "label").withColumn("created_at", F.current_timestamp())

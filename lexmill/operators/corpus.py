@@ -27,10 +27,15 @@ def corpus_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def first_of_equal(lines: DataFrame, *order: str) -> DataFrame:
-    """Exact duplicates removed, the first in order kept; one aggregation, no window."""
-    rest = [c for c in lines.columns if c not in (*order, "text")]
-    first = F.min(F.struct(*order, *rest)).alias("first")
-    return lines.groupBy("text").agg(first).select("first.*", "text").select(*lines.columns)
+    """Exact duplicates removed, the first in order kept.
+
+    Only 128-bit hashes are grouped; what is removed is the places of later copies, so that texts are neither sorted nor
+    grouped, and not moved either while there are few copies.
+    """
+    keyed = lines.select(*order, F.unhex(F.md5("text")).alias("k"))
+    several = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first")).filter("n > 1")
+    later = keyed.join(several.select("k", "first"), "k").filter(F.struct(*order) > F.col("first")).select(*order)
+    return lines.join(later, list(order), "left_anti").select(*lines.columns)
 
 
 def held_out_hashes(pairs: DataFrame, fields: tuple[str, ...] = ("sentence_a", "sentence_b")) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import vector as vx
 from lexmill.operators import sample
 from lexmill.operators.corpus import adjacent_pairs
+from lexmill.session import materialize, release
 
 PARAPHRASE, ADJACENT, RANDOM = 4.8, 2.0, 0.3  #: fixed silver scores of the three tiers
 
@@ -48,27 +48,49 @@ def scored_uncertainty(pairs: DataFrame, a: str = "va", b: str = "vb") -> DataFr
     return pairs.withColumn("cosine", vx.cosine(a, b)).withColumn("uncertainty", vx.uncertainty(F.col("cosine")))
 
 
-def _capped(pdf: pd.DataFrame, n: int, max_reuse: int) -> pd.DataFrame:
-    used: dict[str, int] = {}
-    taken = []
-    for row in pdf.sort_values(["score", "pair"], ascending=[False, True]).itertuples():
-        if len(taken) == n:
-            break
-        if used.get(row.a, 0) < max_reuse and used.get(row.b, 0) < max_reuse:
-            used[row.a] = used.get(row.a, 0) + 1
-            used[row.b] = used.get(row.b, 0) + 1
-            taken.append((row.pair, row.a, row.b, row.score))
-    return pd.DataFrame(taken, columns=["pair", "a", "b", "score"])
+def _all_capped(pool: DataFrame, max_reuse: int) -> DataFrame:
+    """The pairs that a pass over pool(pair, a, b, score) in order takes if it skips each whose text is used up.
 
-
-def select_capped(pool: DataFrame, n: int, max_reuse: int = 2, max_pool: int = 200_000) -> DataFrame:
+    By rounds: of each text only the first undecided pairs, as many as it has uses left, can be taken whatever
+    becomes of the others; a pair that is among them on both sides is taken.  The first undecided pair always is.
+    """
+    order = [F.desc("score"), "pair"]
+    first = undecided = materialize(pool, "pool")
+    taken = None
+    while not undecided.isEmpty():
+        sides = undecided.select("pair", "score", F.explode(F.array("a", "b")).alias("text")).groupBy("pair", "score", "text").agg(F.count("*").alias("w"))
+        if taken is not None:
+            used = taken.select(F.explode(F.array("a", "b")).alias("text")).groupBy("text").agg(F.count("*").alias("used"))
+            sides = sides.join(used, "text", "left")
+        else:
+            sides = sides.withColumn("used", F.lit(0).cast("long"))
+        own = Window.partitionBy("text").orderBy(*order)
+        # each row has a weight of one at least, so rows after the first ``max_reuse`` can't be taken now
+        near = sides.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= max_reuse)
+        near = near.withColumn("before", F.coalesce(F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # a text paired with itself is used twice at once, which may be once too much: nothing before it may be undecided
+        alone = (F.col("w") == 1) | (F.col("before") == 0)
+        open_ = near.filter(alone & (F.col("before") + F.coalesce("used", F.lit(0)) < max_reuse)).groupBy("pair").agg(F.sum("w").alias("w")).filter("w = 2").select("pair")
+        new = materialize(undecided.join(open_, "pair", "left_semi"), "taken")
+        taken = new if taken is None else taken.unionByName(new)
+        full = taken.select(F.explode(F.array("a", "b")).alias("text")).groupBy("text").agg(F.count("*").alias("used")).filter(F.col("used") >= max_reuse).select("text")
+        rest = undecided.join(new.select("pair"), "pair", "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(full.withColumnRenamed("text", side), side, "left_anti")
+        before_, undecided = undecided, materialize(rest.select(*pool.columns), "pool")
+        release(before_)
+    return taken if taken is not None else first.limit(0)
+
+
+def select_capped(pool: DataFrame, n: int, max_reuse: int = 2) -> DataFrame:
     """The n pairs of pool(pair, a, b, score) of the highest scores, no text more often than max_reuse.
 
-    The choice depends on the whole order, so it is made in one task; the pool has a documented bound.
+    What is taken from the first m pairs of the order doesn't depend on the others, so m grows until n are taken.
     """
-    if pool.limit(max_pool + 1).count() > max_pool:
-        raise ValueError(f"the pool has more than {max_pool} pairs; sample it first")
-    kinds = dict(pool.dtypes)
-    schema = f"pair {kinds['pair']}, a string, b string, score double"
-    one = pool.select("pair", "a", "b", "score", F.lit(0).alias("g"))
-    return one.groupBy("g").applyInPandas(lambda pdf: _capped(pdf, n, max_reuse), schema)
+    own = pool.select("pair", "a", "b", "score").filter("a is not null and b is not null")
+    total, m = own.count(), 4 * n
+    while True:
+        taken = materialize(_all_capped(own if m >= total else own.orderBy(F.desc("score"), "pair").limit(m), max_reuse), "capped")
+        if m >= total or taken.count() >= n:
+            return taken.orderBy(F.desc("score"), "pair").limit(n)
+        m *= 8

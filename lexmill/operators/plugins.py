@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.functions import vector as vx
 from lexmill.session import materialize
+from lexmill.sources import files
 
 #: What words of some classes become.
 SUBSTITUTES = {"PROPN": "person1", "PRON": "pron1", "NUM": "ordinal1"}
@@ -39,33 +40,32 @@ class Tagger(Protocol):
         ...
 
 
-def substitute(tokens: list[tuple[str, str, str]]) -> str:
-    """Tagged tokens as one text: names, pronouns, numbers and abbreviations by their substitutes, lemmas else."""
-    out = []
-    for token, lemma, kind in tokens:
-        if token.isspace() or not token:
-            continue
-        if token in (*SUBSTITUTES.values(), ABBREVIATION):
-            out.append(token)
-        elif kind in SUBSTITUTES:
-            out.append(SUBSTITUTES[kind])
-        elif "." in token and any(c.isalpha() for c in token):
-            out.append(ABBREVIATION)
-        else:
-            out.append(lemma.lower())
-    return " ".join(out)
+def tagged(tagger: Tagger) -> Callable[[Column], Column]:
+    """A text's tokens as an array of (token, lemma, kind); only the tagger itself runs in Python."""
 
+    @F.pandas_udf("array<struct<token:string,lemma:string,kind:string>>")
+    def tag(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [{"token": t, "lemma": m, "kind": k} for t, m, k in tagger.tag(x)])
 
-def token_prep(tagger: Tagger | None) -> Callable[[Column], Column]:
-    """Hook for :func:`lexmill.functions.text.normalize`; without a tagger texts stay as they are."""
-    if tagger is None:
-        return lambda c: c
+    return tag
+
+
+def substituted(tokens: Column) -> Column:
+    """Tagged tokens as one text.  Substitutes stay as they are, so that the result can be prepared again; then the
+    shape of an abbreviation counts before the word class, and what is neither becomes its lemma."""
+    by_kind = F.create_map(*[F.lit(x) for pair in SUBSTITUTES.items() for x in pair])
+
+    def word(t: Column) -> Column:
+        done = t["token"].isin(*SUBSTITUTES.values(), ABBREVIATION)
+        other = F.coalesce(F.element_at(by_kind, F.coalesce(t["kind"], F.lit(""))), F.lower(t["lemma"]))
+        return F.when(done, t["token"]).when(tx.has_abbreviation_shape(t["token"]), ABBREVIATION).otherwise(other)
+
+    return F.array_join(F.transform(F.filter(tokens, lambda t: tx.strip(t["token"]) != ""), word), " ")
 
-    @F.pandas_udf("string")
-    def prep(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else substitute(tagger.tag(x)))
 
-    return prep
+def token_prep(tagger: Tagger | None) -> Callable[[Column], Column]:
+    """Hook for :func:`lexmill.functions.text.normalize`; without a tagger texts stay as they are."""
+    return (lambda c: c) if tagger is None else (lambda c: substituted(tagged(tagger)(c)))
 
 
 class HashedWords:
@@ -103,43 +103,63 @@ def encode(df: DataFrame, encoder: Encoder, text_col: str = "text", normalize: b
     return out.withColumn("embedding", F.transform(vx.unit("embedding"), lambda x: x.cast("float"))) if unit else out
 
 
-def back_translate(texts: DataFrame, providers: list[Translator], pivot: str, source: str, cache: DataFrame, max_retries: int = 2, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def back_translate(
+    texts: DataFrame, providers: list[Translator], pivot: str, source: str, cache: DataFrame, max_retries: int = 2, delay: float = 0.0, cache_path: str | None = None, chunk: int = 10_000
+) -> tuple[DataFrame, DataFrame]:
     """(text, paraphrase) and the new cache entries (key, value).
 
     Providers are tried in order until one gives a text.  Each round trip is looked up in the cache first; only
-    misses of all earlier providers go to a provider.  Empty answers are failures; an error ends the retries.
+    misses of all earlier providers go to a provider.  Empty answers and errors are failures and asked again up
+    to ``max_retries`` times; a missing library or a wrong setting (ImportError, ValueError) ends the job.
+
+    Misses are asked for in chunks of about ``chunk`` texts.  With a ``cache_path`` every finished chunk is appended to
+    that cache at once, so that a job that fails later has not paid for nothing.
     """
     left = texts.select("text").distinct().withColumn("paraphrase", F.lit(None).cast("string"))
     entries = cache.select("key", "value").filter("value <> ''")
-    fresh = None
+    fresh = entries.limit(0)
     for p in providers:
         keyed = left.withColumn("key", tx.cache_key(F.lit(p.name), F.lit(source), F.lit(pivot), F.col("text")))
-        known = keyed.join(entries, "key", "left")
+        known = materialize(keyed.join(entries, "key", "left"), "known")
         todo = known.filter("paraphrase is null and value is null").select("key", "text")
 
         def ask(batches: Iterator[pd.DataFrame], p: Translator = p) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pd.DataFrame({"key": pdf["key"], "value": [_round_trip(p, t, pivot, source, max_retries, delay) for t in pdf["text"]]})
 
-        # written, so that no provider is asked twice for a text
-        answers = materialize(todo.mapInPandas(ask, "key string, value string").filter("value is not null"), "answers")
-        fresh = answers if fresh is None else fresh.unionByName(answers)
+        n_chunks = max(1, -(-todo.count() // chunk))
+        answers = entries.limit(0)
+        for c in range(n_chunks):
+            some = todo.filter(F.pmod(F.xxhash64("key"), F.lit(n_chunks)) == c)
+            # written, so that no provider is asked twice for a text
+            part = materialize(some.mapInPandas(ask, "key string, value string").filter("value is not null"), "answers")
+            if cache_path is not None:
+                files.append_cache(part, cache_path)
+            answers = answers.unionByName(part)
+        fresh = fresh.unionByName(answers)
         got = known.join(answers.withColumnRenamed("value", "new"), "key", "left")
         left = got.select("text", F.coalesce("paraphrase", "value", "new").alias("paraphrase"))
-    return left, fresh if fresh is not None else entries.limit(0)
+    return left, fresh
 
 
 def _round_trip(p: Translator, text: str, pivot: str, source: str, max_retries: int, delay: float) -> str | None:
-    for attempt in range(max_retries + 1):
+    """There and back, until an attempt gives a text.  Every call is followed by half the delay, also after an error,
+    so that the rate limit holds when the service is failing."""
+
+    def call(x: str, a: str, b: str) -> str | None:
         try:
-            there = p.translate(text, source, pivot)
-            time.sleep(delay / 2)
-            back = p.translate(there, pivot, source) if there else None
+            return p.translate(x, a, b)
+        except (ImportError, ValueError):
+            raise
+        except Exception:  # translators have errors of their own; all others count as passing failures
+            return None
+        finally:
             time.sleep(delay / 2)
-            return back or None
-        except OSError:
-            if attempt == max_retries:
-                return None
+
+    for _ in range(max_retries + 1):
+        there = call(text, source, pivot)
+        if there and (back := call(there, pivot, source)):
+            return back
     return None
 
 

@@ -132,7 +132,15 @@ def near_dup_classes(spark, d):
     return keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("class_id")), "k").select("doc_id", "class_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {sql.DISTINCT_TEXTS}, {sql.SHINGLES}, sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+    common AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+    edges AS MATERIALIZED (SELECT i, j FROM common JOIN sizes x ON x.id = i JOIN sizes y ON y.id = j WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    later AS MATERIALIZED (SELECT j, list(i) AS before, row_number() OVER (ORDER BY j) AS rn FROM edges GROUP BY j),
+    scan AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS dropped UNION ALL
+      SELECT l.rn, CASE WHEN len(list_filter(l.before, lambda x: NOT list_contains(s.dropped, x))) > 0 THEN list_append(s.dropped, l.j) ELSE s.dropped END FROM scan s JOIN later l ON l.rn = s.rn + 1)
+    SELECT id AS doc_id FROM texts WHERE id NOT IN (SELECT unnest(dropped) FROM (SELECT dropped FROM scan ORDER BY rn DESC LIMIT 1))"""
+)
 def dedup_greedy_exact(spark, d):
     return dedup.dedup(_docs(spark, d)).select("doc_id")
 
@@ -183,13 +191,50 @@ def simcse_pairs(spark, d):
     return pairs.simcse_pairs(table(spark, d, "items").select(F.col("sentence_a").alias("text")))
 
 
-@query()
+def _capped(ordered: str, n: int, most: int = 2) -> str:
+    """CTE ``taken(list of pairs)``: a pass over ordered(rn, pair, a, b) that skips pairs whose texts are used up."""
+    used = "len(list_filter(g.used, lambda x: x = o.{0}))"
+    ok = f"{used.format('a')} < {most} AND {used.format('b')} < {most}"
+    return f"""g AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS used, []::BIGINT[] AS pairs UNION ALL
+      SELECT o.rn, CASE WHEN {ok} THEN list_concat(g.used, [o.a, o.b]) ELSE g.used END, CASE WHEN {ok} THEN list_append(g.pairs, o.pair) ELSE g.pairs END
+      FROM g JOIN {ordered} o ON o.rn = g.rn + 1 WHERE len(g.pairs) < {n}),
+    taken AS (SELECT unnest(pairs) AS pair FROM (SELECT pairs FROM g ORDER BY rn DESC LIMIT 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT id::BIGINT AS pair, sentence_a AS a, sentence_b AS b, uncertainty AS score, row_number() OVER (ORDER BY uncertainty DESC, id) AS rn
+      FROM items WHERE uncertainty IS NOT NULL AND sentence_a IS NOT NULL AND sentence_b IS NOT NULL), {_capped('o', 200)}
+    SELECT pair, a, b, round(score, 6) AS score FROM o WHERE pair IN (SELECT pair FROM taken)"""
+)
 def select_pairs_capped(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("vb")), "vec_id")
-    scored = pairs.scored_uncertainty(both, "embedding", "vb")
-    pool = scored.select(F.col("vec_id").alias("pair"), F.pmod("vec_id", F.lit(97)).cast("string").alias("a"), F.pmod(F.col("vec_id") + 1, F.lit(89)).cast("string").alias("b"), F.col("uncertainty").alias("score"))
-    return pairs.select_capped(pool, 60)
+    items = table(spark, d, "items").filter("uncertainty is not null")
+    pool = items.select(F.col("id").cast("long").alias("pair"), F.col("sentence_a").alias("a"), F.col("sentence_b").alias("b"), F.col("uncertainty").alias("score"))
+    return pairs.select_capped(pool, 200).withColumn("score", F.round("score", 6))
+
+
+_HASH = "('0x' || substr(sha1(w), 1, 16))::UBIGINT"
+
+
+@query(
+    f"""WITH RECURSIVE {sql.LINES}, pool AS MATERIALIZED (SELECT text, row_number() OVER (ORDER BY doc_id, pos) - 1 AS idx
+      FROM (SELECT * FROM lines ORDER BY sha1('42|' || doc_id || '|' || pos), doc_id, pos LIMIT 5000)),
+    places AS (SELECT pair, {sql.hash_number("42i", "pair")} % n AS i, {sql.hash_number("42j", "pair")} % (n - 1) AS shift, n FROM (SELECT unnest(range(400)) AS pair), (SELECT count(*) AS n FROM pool)),
+    candidates AS MATERIALIZED (SELECT a.idx AS pair, a.text AS a, b.text AS b FROM pool a JOIN pool b ON b.idx = a.idx + 1
+      UNION ALL SELECT pair + 5000, a.text, b.text FROM places JOIN pool a ON a.idx = i JOIN pool b ON b.idx = (i + 1 + shift) % places.n),
+    vectors AS MATERIALIZED (SELECT text, h % 64 AS x, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS v
+      FROM (SELECT text, {_HASH} AS h FROM (SELECT text, unnest(string_split(text, ' ')) AS w FROM (SELECT DISTINCT text FROM pool))) GROUP BY 1, 2),
+    norms AS (SELECT text, sqrt(sum(v * v)) AS n FROM vectors GROUP BY text),
+    sides AS MATERIALIZED (SELECT pair, b || '|' || x AS side, v FROM candidates JOIN vectors ON text = a),
+    dots AS (SELECT pair, sum(s.v * y.v) AS d FROM sides s JOIN (SELECT text || '|' || x AS side, v FROM vectors) y USING (side) GROUP BY pair),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, pair) AS rn FROM (SELECT c.pair, a, b,
+      greatest(least(1 - abs(coalesce(coalesce(d, 0) / nullif(x.n * y.n, 0), 0) - 0.5) / 0.5, 1.0), 0.0) AS score
+      FROM candidates c JOIN norms x ON x.text = a JOIN norms y ON y.text = b LEFT JOIN dots ON dots.pair = c.pair)), {_capped('o', 60)}
+    SELECT pair, a AS sentence_a, b AS sentence_b, round(score, 6) AS uncertainty, 'pending' AS status FROM o WHERE pair IN (SELECT pair FROM taken)"""
+)
+def seed_items(spark, d):
+    """Items for people to label: the most uncertain pairs of corpus lines, no line more than twice."""
+    out = pipeline.seed_items(_lines(spark, d), plugins.HashedWords(64))
+    return out.withColumn("uncertainty", F.round("uncertainty", 6)).drop("gold_label")
 
 
 # ---- annotation
@@ -241,6 +286,12 @@ def kappa_quadratic(spark, d):
     return annotate.weighted_kappa(ratings, "other").withColumn("kappa", F.round("kappa", 6))
 
 
+@query("SELECT id, CASE WHEN status = 'gold' THEN 'gold' WHEN id IN (SELECT item_id FROM annotations WHERE label IS NOT NULL AND item_id IS NOT NULL) THEN 'labeled' ELSE 'pending' END AS status FROM items")
+def labelled_status(spark, d):
+    """The items' status as the annotation log gives it."""
+    return annotate.derived_status(table(spark, d, "items"), table(spark, d, "annotations")).select("id", "status")
+
+
 @query("SELECT label, count(*) AS n FROM annotations GROUP BY label")
 def label_tiers(spark, d):
     return annotate.label_counts(table(spark, d, "annotations"))
@@ -344,12 +395,17 @@ def l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vx.norm("embedding"), 6).alias("norm"), F.round(F.get(vx.unit("embedding"), 0), 6).alias("first"))
 
 
-@query("SELECT count(*) AS rows, 0.0::DOUBLE AS max_diff, true AS match FROM embeddings")
+@query(
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), y AS (SELECT vec_id, sqrt(sum(v * v)) AS n, max(abs(v)) AS m FROM x GROUP BY vec_id),
+    d AS (SELECT vec_id, abs(v / m - v / n) AS d, abs(v / n) AS a FROM x JOIN y USING (vec_id))
+    SELECT (SELECT count(*) FROM embeddings) AS rows, round(max(d), 6) AS max_diff, bool_and(d <= 0.1 + 1e-5 * a) AS match FROM d"""
+)
 def skew_check(spark, d):
-    """Stored vectors against the same vectors normalised again."""
+    """Vectors scaled by their largest number against the same vectors scaled by their length: a skew that must be found."""
     e = table(spark, d, "embeddings")
-    out = retrieval.skew_check(e.select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v")), retrieval.unit_vectors(e))
-    return out.withColumn("max_diff", F.round("max_diff", 4))
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = e.select(F.col("vec_id").alias("key"), tx.let(largest, lambda m: F.transform("embedding", lambda x: x.cast("double") / m)).alias("v"))
+    return retrieval.skew_check(scaled, retrieval.unit_vectors(e), atol=0.1).withColumn("max_diff", F.round("max_diff", 6))
 
 
 @query("SELECT count(*) AS rows, max(len(embedding))::BIGINT AS dim, (count(*) * max(len(embedding)) * 18)::BIGINT AS bytes FROM embeddings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable
@@ -37,29 +38,33 @@ class Pipeline:
         self.prints: dict[str, str] = {name: self._source_print(path) for name, path in sources.items()}
         self.ran: list[str] = []
 
-    @staticmethod
-    def _source_print(path: str) -> str:
-        """Names, sizes and times of the source's files."""
-        p = Path(path)
-        parts = sorted([p] if p.is_file() else p.rglob("*.parquet")) if p.exists() else []
-        return hashlib.sha1(json.dumps([(str(x), x.stat().st_size, x.stat().st_mtime_ns) for x in parts] or path).encode()).hexdigest()
+    def _source_print(self, path: str) -> str:
+        """Names, sizes and times of the source's files, wherever they lie."""
+        return files.fingerprint(self.spark, path)
 
     def _manifest(self, stage: Stage) -> dict:
-        return {"stage": stage.name, "params": stage.params, "inputs": {n: self.prints[n] for n in stage.needs}}
+        return {"stage": stage.name, "params": stage.params, "inputs": {n: self.prints[n] for n in stage.needs}, "code": code_version()}
 
     def run(self, stages: list[Stage]) -> dict[str, DataFrame]:
         for stage in stages:
             manifest = self._manifest(stage)
             mark = hashlib.sha1(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
-            place, note = f"{self.workdir}/{stage.name}/{mark}", Path(f"{self.workdir}/{stage.name}/{mark}.json")
-            if not note.exists():
+            place = f"{self.workdir}/{stage.name}/{mark}"
+            if not files.exists(self.spark, f"{place}.json"):
                 stage.run(self.spark, {n: self.tables[n] for n in stage.needs}, **stage.params).write.mode("overwrite").parquet(place)
-                note.write_text(json.dumps(manifest, indent=2, sort_keys=True))
+                files.write_small(self.spark, f"{place}.json", json.dumps(manifest, indent=2, sort_keys=True))
                 self.ran.append(stage.name)
             self.tables[stage.name], self.prints[stage.name] = self.spark.read.parquet(place), mark
         return self.tables
 
 
+@functools.cache
+def code_version() -> str:
+    """Changes with the source of this package."""
+    root = Path(__file__).resolve().parents[1]
+    return hashlib.sha1(b"".join(p.read_bytes() for p in sorted(root.rglob("*.py")) if "llm" not in p.relative_to(root).parts)).hexdigest()
+
+
 def corpus_stage(spark: SparkSession, t: dict[str, DataFrame], threshold: float = 0.8, exact: bool = True) -> DataFrame:
     """Lines -> near-duplicates removed -> leaked lines removed, with a line number over the whole corpus."""
     lines = corpus.corpus_lines(t["documents"])
@@ -85,6 +90,73 @@ def evaluate(sts: DataFrame, encoder: plugins.Encoder, branch: str = "a", k: int
     return rho.unionByName(retrieval.recall_mrr(retrieval.positive_ranks(queries, docs, k), k, branch))
 
 
+def evaluate_branches(sts: DataFrame, branches: dict[str, plugins.Encoder | None], training: list[DataFrame] | None = None, k: int = 10) -> DataFrame:
+    """(branch, metric, value) of several encoders; a missing one (None) is skipped.
+
+    First the guard: no sentence of the evaluation set may stand in a training text (path, text).
+    """
+    for texts in training or []:
+        corpus.require_clean_files(texts, sts)
+    out = None
+    for name, encoder in branches.items():
+        if encoder is not None:
+            part = evaluate(sts, encoder, name, k)
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else sts.sparkSession.createDataFrame([], schemas.METRICS)
+
+
+def silver_set(
+    lines: DataFrame, providers: list[plugins.Translator], pivot: str, source: str, cache: DataFrame, n: int = 300, seed: int = 42, delay: float = 0.0, cache_path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(sentence_a, sentence_b, score) in three silver tiers, and (score, n), the size of each tier.
+
+    Only the lines of the upper tier's sample are translated, with some to spare for failures.
+    """
+    asked = sample.sample_rows(lines.select("text").distinct(), 2 * max(1, n // 3), f"{seed}t", "text")
+    paraphrases, _ = plugins.back_translate(asked, providers, pivot, source, cache, delay=delay, cache_path=cache_path)
+    made = materialize(pairs.silver_pairs(lines, n, seed, paraphrases), "silver")
+    return made, made.groupBy("score").agg(F.count("*").alias("n"))
+
+
+def svd_pairs(lines: DataFrame, n: int, k: int = 100, seed: int = 42) -> DataFrame:
+    """(pair, sentence_a, sentence_b, score): random pairs of lines(doc_id, pos, text), scored by their latent similarity."""
+    keyed = sample.numbered(lines.select("doc_id", "pos", "text"), "doc_id", "pos").select(F.col("idx").alias("doc_id"), "text")
+    keyed = materialize(keyed, "lines")
+    scored = tfidf.lsa_scored_pairs(keyed, n, k=k, seed=seed)
+    a = keyed.select(F.col("doc_id").alias("i"), F.col("text").alias("sentence_a"))
+    b = keyed.select(F.col("doc_id").alias("j"), F.col("text").alias("sentence_b"))
+    return scored.join(a, "i").join(b, "j").select("pair", "sentence_a", "sentence_b", "score")
+
+
+def svd_evaluation(lines: DataFrame, branches: dict[str, plugins.Encoder | None], n: int = 3000, components: int = 100, k: int = 5, scale: float = 5.0, metrics_path: str | None = None) -> DataFrame:
+    """Metrics of encoders on an evaluation set that is labelled by latent similarity; no people and no services needed."""
+    labelled = materialize(svd_pairs(lines, n, components), "svd")
+    sts = labelled.select(F.col("pair").alias("id"), "sentence_a", "sentence_b", (F.col("score") / scale).alias("score"))
+    metrics = evaluate_branches(sts, branches, k=k)
+    if metrics_path is not None:
+        files.write_metrics(metrics, metrics_path)
+    return metrics
+
+
+def seed_items(lines: DataFrame, encoder: plugins.Encoder, n: int = 60, n_random: int = 400, max_reuse: int = 2, seed: int = 42, most_lines: int = 5000) -> DataFrame:
+    """(pair, sentence_a, sentence_b, uncertainty, status, gold_label): the n most uncertain pairs of lines for people to label.
+
+    A bounded sample of the lines, in their order, gives neighbours and random pairs; of these the most uncertain by the
+    encoder are taken, no sentence more often than ``max_reuse``.
+    """
+    pool = sample.sample_rows(lines.select("doc_id", "pos", "text"), most_lines, seed, "doc_id", "pos")
+    pool = materialize(sample.numbered(pool, "doc_id", "pos").select("idx", "text"), "pool")
+    near = pool.join(pool.select((F.col("idx") - 1).alias("idx"), F.col("text").alias("b")), "idx").select(F.col("idx").alias("pair"), F.col("text").alias("a"), "b")
+    far = sample.random_pairs(pool, n_random, seed, "idx").select((F.col("pair") + most_lines).alias("pair"), "a", "b")
+    vectors = materialize(plugins.encode(pool.select("text").distinct(), encoder, unit=False), "vectors")
+    both = near.unionByName(far)
+    for side in ("a", "b"):
+        both = both.join(vectors.select(F.col("text").alias(side), F.col("embedding").alias(f"v{side}")), side)
+    scored = pairs.scored_uncertainty(both).select("pair", "a", "b", F.col("uncertainty").alias("score"))
+    chosen = pairs.select_capped(materialize(scored, "scored"), n, max_reuse)
+    return chosen.select("pair", F.col("a").alias("sentence_a"), F.col("b").alias("sentence_b"), F.col("score").alias("uncertainty"), F.lit("pending").alias("status"), F.lit(None).cast("double").alias("gold_label"))
+
+
 def triplet_stage(spark: SparkSession, t: dict[str, DataFrame], upper: float = 0.7, lower: float = 0.3) -> DataFrame:
     return annotate.percentile_triplets(annotate.labelled_pairs(t["items"], t["annotations"]), upper, lower)
 
@@ -107,12 +179,7 @@ def triplets_by(method: str, lines: DataFrame, items: DataFrame, annotations: Da
     ``lines`` is (doc_id, pos, text).  Training uses another seed than evaluation sets, whose default is 42.
     """
     if method == "svd":
-        keyed = sample.numbered(lines.select("doc_id", "pos", "text"), "doc_id", "pos").select(F.col("idx").alias("doc_id"), "text")
-        keyed = materialize(keyed, "lines")
-        scored = tfidf.lsa_scored_pairs(keyed, n or 3000, k=k, seed=seed)
-        a = keyed.select(F.col("doc_id").alias("i"), F.col("text").alias("sentence_a"))
-        b = keyed.select(F.col("doc_id").alias("j"), F.col("text").alias("sentence_b"))
-        labelled = scored.join(a, "i").join(b, "j").select(F.col("pair").alias("item_id"), "sentence_a", "sentence_b", "score")
+        labelled = svd_pairs(lines, n or 3000, k, seed).withColumnRenamed("pair", "item_id")
     elif method == "backtranslation":
         silver = pairs.silver_pairs(lines, n or 300, seed, paraphrases)
         labelled = silver.withColumn("item_id", F.xxhash64("sentence_a", "sentence_b"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +21,44 @@ class MissingInput(FileNotFoundError):
     """An input is absent or empty."""
 
 
-def _status(spark: SparkSession, path: str):
+def resolve(path: str, root: str) -> str:
+    """The path itself if it is absolute or has a scheme, else below the root."""
+    return path if path.startswith("/") or "://" in path else f"{root.rstrip('/')}/{path}"
+
+
+def _file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _status(spark: SparkSession, path: str):
+    fs, p = _file_system(spark, path)
     return fs.getContentSummary(p) if fs.exists(p) else None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on whatever file system the path names."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes with the names, sizes and times of the files below a path, on any file system."""
+    fs, p = _file_system(spark, path)
+    found, each = [], fs.listFiles(p, True) if fs.exists(p) else None
+    while each is not None and each.hasNext():
+        f = each.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(json.dumps([path, sorted(found)]).encode()).hexdigest()
+
+
 def require_inputs(spark: SparkSession, paths: list[str], allow_empty: bool = False) -> list[str]:
     """The paths, if all exist and none is empty."""
     for path in paths:
@@ -36,16 +69,27 @@ def require_inputs(spark: SparkSession, paths: list[str], allow_empty: bool = Fa
 
 
 def read_lines(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
-    """(path, pos, text): the lines of text files in the order of the paths.
+    """(file, path, pos, text): the lines of text files; ``file`` is the place of the path in the list, ``pos`` the
+    number of the line in its file.
 
-    Files are read whole per path as binary so that ``pos`` is the true line number; invalid UTF-8 becomes
-    U+FFFD, or is an error if ``strict``.  Use :func:`scan_lines` for single files too large for one task.
+    The scan is split, so files may have any size: lines are numbered in their split, and the splits' counts are
+    summed.  Invalid UTF-8 becomes U+FFFD, or is an error if ``strict``.
     """
     require_inputs(spark, paths, allow_empty=True)
-    raw = spark.read.format("binaryFile").load(paths).select("path", F.col("content").cast("string").alias("content"))
-    content = F.validate_utf8("content") if strict else F.make_valid_utf8("content")
-    lines = raw.select("path", F.posexplode(F.split(content, tx.LINE_BREAK)).alias("pos", "text"))
-    return lines.select("path", F.col("pos").cast("long").alias("pos"), "text")
+    raw = None
+    for i, path in enumerate(paths):
+        one = spark.read.text(path).select(
+            F.lit(i).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"), (F.validate_utf8("value") if strict else F.make_valid_utf8("value")).alias("text"),
+        )
+        raw = one if raw is None else raw.unionByName(one)
+    if raw is None:
+        return spark.createDataFrame([], "file int, path string, pos long, text string")
+    counts = raw.groupBy("file", "path", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file", "path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "path", "block").orderBy("seq")) - 1
+    return raw.withColumn("inside", inside).join(counts, ["file", "path", "block"]).select("file", "path", (F.col("inside") + F.col("before")).cast("long").alias("pos"), "text")
 
 
 def scan_lines(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
@@ -144,18 +188,33 @@ def append_cache(entries: DataFrame, path: str) -> None:
     entries.filter(F.length("value") > 0).select("key", "value").write.mode("append").json(path)
 
 
+def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Rows that were written, counted on the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return int(seen.get["n"] or 0)
+
+
 def write_corpus(corpus: DataFrame, path: str, order: tuple[str, ...] = ("pos",), single_file: bool = False) -> int:
     """One line a record, in order; returns the number of lines."""
-    spark = corpus.sparkSession
     ordered = corpus.orderBy(*order).select("text")
-    (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").text(path)
-    return spark.read.text(path).count()
+    return _counted(ordered.coalesce(1) if single_file else ordered, lambda df: df.write.mode("overwrite").text(path))
 
 
 def write_jsonl(df: DataFrame, path: str, schema: T.StructType) -> int:
     """The schema's columns in its order, characters unescaped; returns the number of records."""
-    df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").json(path)
-    return df.sparkSession.read.schema(schema).json(path).count()
+    return _counted(df.select(*[F.col(f.name).cast(f.dataType) for f in schema]), lambda rows: rows.write.mode("overwrite").json(path))
+
+
+def append_rows(rows: DataFrame, location: str, name: str, schema: T.StructType, **options: str) -> int:
+    """Adds rows to a table of a folder or of a JDBC database; the number of rows.
+
+    The columns are cast to the table's schema, and a column of it that the rows lack is null.
+    """
+    own = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    if location.startswith("jdbc:"):
+        return _counted(own, lambda df: df.write.format("jdbc").options(url=location, dbtable=name, **options).mode("append").save())
+    return _counted(own, lambda df: df.write.mode("append").parquet(f"{location.rstrip('/')}/{name}.parquet"))
 
 
 def write_metrics(metrics: DataFrame, path: str) -> dict[str, float]:
@@ -164,15 +223,19 @@ def write_metrics(metrics: DataFrame, path: str) -> dict[str, float]:
     if len(rows) > 10_000:
         raise ValueError("a metrics table has at most 10,000 rows")
     flat = {f"{r.metric}_{r.branch}": r.value for r in sorted(rows, key=lambda r: (r.branch, r.metric))}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(flat, indent=2))
+    write_small(metrics.sparkSession, path, json.dumps(flat, indent=2))
     return flat
 
 
+def write_config(spark: SparkSession, path: str, settings: dict) -> None:
+    """Settings as JSON, which every YAML reader takes too."""
+    write_small(spark, path, json.dumps(settings, indent=2, ensure_ascii=False))
+
+
 def read_config(path: str) -> dict:
-    """A JSON file, or a YAML file if the optional library yaml is installed."""
+    """A file in JSON, whatever its ending, or in YAML if the optional library yaml is installed."""
     content = Path(path).read_text(encoding="utf-8")
-    if path.endswith(".json"):
+    if path.endswith(".json") or content.lstrip().startswith("{"):
         return json.loads(content)
     try:
         import yaml

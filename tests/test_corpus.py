@@ -36,6 +36,12 @@ def test_guard(spark):
 def test_first_of_equal_and_adjacent(spark):
     lines = lines_frame(spark, ["x", "y", "x", "z"])
     assert [(r.pos, r.text) for r in corpus.first_of_equal(lines, "doc_id", "pos").orderBy("pos").collect()] == [(0, "x"), (1, "y"), (3, "z")]
+    rng = random.Random(3)
+    many = spark.createDataFrame([(rng.randrange(9), i, rng.choice("abcdefg") * 3, 7) for i in range(200)], "doc_id int, pos int, text string, n int").repartition(4)
+    want = {}
+    for r in sorted(many.collect()):
+        want.setdefault(r.text, tuple(r))
+    assert {tuple(r) for r in corpus.first_of_equal(many, "doc_id", "pos").collect()} == set(want.values())
     assert [(r.a, r.b) for r in corpus.adjacent_pairs(lines).orderBy("pos").collect()] == [("x", "y"), ("y", "x"), ("x", "z")]
 
 
@@ -108,6 +114,22 @@ def test_lsh_keeps_distinct_and_finds_copies(spark):
     assert len(dedup.dedup(small, exact=False, threshold=0.4, batch=1).collect()) == 3
 
 
+def test_band_shapes():
+    # fixed values: shapes that sequential indexes use for 128 permutations
+    assert [dedup.band_shape(t) for t in (0.4, 0.5, 0.8, 0.9)] == [(32, 4), (25, 5), (9, 13), (5, 25)]
+    for t in (0.05, 0.33, 0.7, 0.77, 0.95, 1.0):
+        b, r = dedup.band_shape(t)
+        assert b * r <= dedup.PERMUTATIONS
+    assert dedup.band_shape(0.3)[1] < dedup.band_shape(0.7)[1] < dedup.band_shape(0.95)[1]
+
+
+def test_any_threshold(spark):
+    texts = ["the quick brown fox jumps over the lazy dog tonight", "the quick brown fox jumps over the lazy dog today", "wholly other words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert len(dedup.dedup(df, exact=False, threshold=0.33).collect()) == 2
+    assert len(dedup.dedup(df, exact=False, threshold=0.97).collect()) == 3
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert dedup.dedup(df).count() == 0 and dedup.dedup(df, exact=False).count() == 0

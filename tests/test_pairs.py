@@ -45,19 +45,29 @@ def test_silver(spark):
     assert pairs.silver_pairs(texts(spark, 1), 9, 1).count() == 0
 
 
-def test_select_capped_against_a_loop(spark):
+def test_large_samples_are_the_same(spark, monkeypatch):
+    df = texts(spark, 1000).repartition(5)
+    want = {r.pos for r in sample.sample_rows(df, 300, 7, "pos").collect()}
+    monkeypatch.setattr(sample, "IN_ONE_TASK", 10)
+    got = sample.sample_rows(df, 300, 7, "pos")
+    assert got.columns == df.columns and {r.pos for r in got.collect()} == want
+    assert sample.sample_rows(df, 5000, 7, "pos").count() == 1000
+
+
+@pytest.mark.parametrize("n,reuse", [(20, 2), (500, 2), (500, 1), (7, 3), (500, 5)])
+def test_select_capped_against_a_loop(spark, n, reuse):
     rng = random.Random(4)
-    pool = [(i, f"s{rng.randrange(15)}", f"s{rng.randrange(15)}", round(rng.random(), 3)) for i in range(120)]
+    pool = [(i, f"s{rng.randrange(15)}", f"s{rng.randrange(15)}", round(rng.random(), 1)) for i in range(120)]  # ties, and texts paired with themselves
+    pool += [(200 + i, "hot", f"t{i}", 2.0) for i in range(30)]
     used, want = {}, []
     for p, a, b, s in sorted(pool, key=lambda r: (-r[3], r[0])):
-        if len(want) < 20 and used.get(a, 0) < 2 and used.get(b, 0) < 2:
+        if len(want) < n and used.get(a, 0) + (a == b) < reuse + (a == b) and used.get(a, 0) < reuse and used.get(b, 0) < reuse:
             want.append(p)
             used[a] = used.get(a, 0) + 1
             used[b] = used.get(b, 0) + 1
-    got = [r.pair for r in pairs.select_capped(spark.createDataFrame(pool, "pair int, a string, b string, score double"), 20).collect()]
+    got = [r.pair for r in pairs.select_capped(spark.createDataFrame(pool + [(900, None, "x", 9.0)], "pair int, a string, b string, score double"), n, reuse).collect()]
     assert got == want
-    with pytest.raises(ValueError):
-        pairs.select_capped(spark.createDataFrame(pool, "pair int, a string, b string, score double"), 20, max_pool=10)
+    assert pairs.select_capped(spark.createDataFrame([], "pair int, a string, b string, score double"), n).count() == 0
 
 
 def test_triplets(spark):
@@ -134,3 +144,26 @@ def test_spearman_and_skew(spark):
     b = spark.createDataFrame([(1, [1.0, 2.1]), (2, [0.0, 1.0])], "key int, v array<double>")
     assert not retrieval.skew_check(a, b).first().match
     assert not retrieval.skew_check(a, b.limit(1)).first().match
+
+
+def test_status_from_the_log_and_new_rows(spark, tmp_path):
+    from lexmill import schemas
+    from lexmill.sources import files
+
+    place = str(tmp_path)
+    items = spark.createDataFrame([(1, "a", "b", 0.9, "pending", None), (2, "c", "d", 0.5, "labeled", None), (3, "e", "f", 0.1, "gold", 2.0)], schemas.ITEMS)
+    assert files.append_rows(items, place, "items", schemas.ITEMS) == 3
+    log = spark.createDataFrame([], schemas.ANNOTATIONS)
+    assert files.append_rows(log, place, "annotations", schemas.ANNOTATIONS) == 0
+    for label in (4.0, 5.0):  # queue -> label -> export
+        stored = files.read_table(spark, place, "annotations")
+        queue = annotate.annotation_queue(annotate.derived_status(files.read_table(spark, place, "items"), stored))
+        first = queue.first()
+        answers = spark.createDataFrame([(first.id, 7, label), (3, 7, 1.0)], "item_id int, annotator_id int, label double")
+        assert files.append_rows(annotate.annotation_rows(answers, stored), place, "annotations", schemas.ANNOTATIONS) == 2
+    stored = files.read_table(spark, place, "annotations")
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3, 4] and stored.filter("created_at is null").count() == 0
+    now = annotate.derived_status(files.read_table(spark, place, "items"), stored)
+    assert {r.id: r.status for r in now.collect()} == {1: "labeled", 2: "labeled", 3: "gold"}
+    scored = annotate.labelled_pairs(now, stored, None)
+    assert {r.anchor for r in annotate.threshold_triplets(scored).collect()} == {"a"}

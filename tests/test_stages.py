@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill import schemas
 from lexmill.functions import training as tr
-from lexmill.operators import plugins, subword, tfidf
+from lexmill.operators import corpus, plugins, subword, tfidf
 from lexmill.plans import pipeline
 from lexmill.session import materialize, release, scratch_dir
 from lexmill.sources import files
@@ -93,7 +93,9 @@ def upper():
 
 
 def test_tagger_rules(spark):
-    assert plugins.substitute([("Anna", "anna", "PROPN"), ("she", "she", "PRON"), ("7", "7", "NUM"), ("e.g.", "e.g.", "X"), (" ", " ", "SPACE"), ("Ran", "Run", "VERB"), ("abbr1", "z", "X")]) == "person1 pron1 ordinal1 abbr1 run abbr1"
+    tokens = [("Anna", "anna", "PROPN"), ("she", "she", "PRON"), ("7", "7", "NUM"), ("e.g.", "e.g.", "X"), (" ", " ", "SPACE"), ("Ran", "Run", "VERB"), ("abbr1", "z", "X"), ("U.S.", "u.s.", "PROPN"), ("3.5", "3.5", "NUM"), ("x", "X", None)]
+    one = spark.createDataFrame([(tokens,), (None,), ([],)], "t array<struct<token:string,lemma:string,kind:string>>")
+    assert [r.x for r in one.select(plugins.substituted(F.col("t")).alias("x")).collect()] == ["person1 pron1 ordinal1 abbr1 run abbr1 abbr1 ordinal1 x", None, ""]
     df = spark.createDataFrame([("Anna she 7 cats",)], "t string")
     assert df.select(plugins.token_prep(upper())("t").alias("x")).first().x == "person1 pron1 ordinal1 cats"
     assert plugins.token_prep(None)(F.col("t")) is not None
@@ -121,6 +123,61 @@ def test_back_translation(spark):
     assert plugins.rate_delay(20) == 3.0 and plugins.rate_delay(0) == 0.0 and plugins.rate_delay(60, 4) == 4.0
 
 
+def test_back_translation_retries_and_keeps_what_it_has(spark, tmp_path):
+    class Flaky:
+        name = "flaky"
+
+        def translate(self, text, source, target):
+            import os
+
+            n = sum(name.startswith(f"{text}-{target}-") for name in os.listdir(self.place))
+            open(f"{self.place}/{text}-{target}-{n}", "w").close()
+            if text == "bad":
+                raise RuntimeError("an error of its own")
+            return "" if n < 2 else f"{text}!"
+
+    local = type("Local", (), dict(Flaky.__dict__))  # by value
+    p = local()
+    p.place = str(tmp_path)
+    texts, empty = spark.createDataFrame([("x",), ("bad",)], "text string").coalesce(1), spark.createDataFrame([], schemas.CACHE)
+    cache = str(tmp_path.parent / f"{tmp_path.name}-cache")
+    got, fresh = plugins.back_translate(texts, [p], "en", "ru", empty, max_retries=6, cache_path=cache, chunk=1)
+    assert {tuple(r) for r in got.collect()} == {("x", "x!!"), ("bad", None)}  # asked again after empty answers
+    assert fresh.count() == 1 and files.read_cache(spark, cache).count() == 1
+
+    class Wrong:
+        name = "wrong"
+
+        def translate(self, text, source, target):
+            raise ValueError("unknown provider")
+
+    with pytest.raises(Exception, match="unknown provider"):
+        plugins.back_translate(texts, [type("W", (), dict(Wrong.__dict__))()], "en", "ru", empty)
+
+
+def test_lines_keep_the_order_of_the_list(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for name, n in (("b.txt", 40), ("a.txt", 30)):
+            (tmp_path / name).write_text("".join(f"{name} line {i}\n" for i in range(n)))
+        got = files.read_lines(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+        assert got.rdd.getNumPartitions() >= 1
+        rows = got.orderBy("file", "pos").collect()
+        assert [r.text for r in rows] == [f"{n} line {i}" for n, k in (("b.txt", 40), ("a.txt", 30), ("b.txt", 40)) for i in range(k)]
+        assert [r.pos for r in rows] == [*range(40), *range(30), *range(40)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files.read_lines(spark, []).count() == 0
+
+
+def test_paths_settings_and_counts(spark, tmp_path):
+    assert files.resolve("x/y", "/root/") == "/root/x/y" and files.resolve("/x", "/r") == "/x" and files.resolve("s3a://b/x", "/r") == "s3a://b/x"
+    files.write_config(spark, str(tmp_path / "c.yaml"), {"a": {"b": [1, "ü"]}})
+    assert files.read_config(str(tmp_path / "c.yaml")) == {"a": {"b": [1, "ü"]}}
+    none = spark.createDataFrame([], schemas.TRIPLET)
+    assert files.write_jsonl(none, str(tmp_path / "none"), schemas.TRIPLET) == 0
+
+
 def test_encode(spark):
     df = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, None)], "id int, t string")
     got = {r.id: r.embedding for r in plugins.encode(df, plugins.HashedWords(16), "t").collect()}
@@ -201,6 +258,14 @@ def test_pipeline_reuses_stages(spark, tmp_path):
     second = pipeline.Pipeline(spark, str(tmp_path / "work"), places)
     second.run(pipeline.DEFAULT)
     assert second.ran == []
+    # a source that changes behind its path runs its stages again, wherever the path lies
+    before = files.fingerprint(spark, places["items"])
+    assert files.fingerprint(spark, f"file:{places['items']}") != files.fingerprint(spark, "file:/nowhere")
+    items.limit(3).write.mode("append").parquet(places["items"])
+    assert files.fingerprint(spark, places["items"]) != before
+    third = pipeline.Pipeline(spark, f"file:{tmp_path}/work", {k: f"file:{v}" for k, v in places.items()})
+    third.run(pipeline.DEFAULT)
+    assert "triplets" in third.ran
     changed = [pipeline.Stage("triplets", pipeline.triplet_stage, ("items", "annotations"), {"upper": 0.6, "lower": 0.3})]
     second.run(changed)
     assert second.ran == ["triplets"]
@@ -213,6 +278,37 @@ def test_evaluate(spark):
     assert got["retrieval_recall@3"] == 1.0 and got["retrieval_mrr@3"] <= got["retrieval_recall@3"] and set(got) == {"spearman", "retrieval_recall@3", "retrieval_mrr@3"}
 
 
+def test_branches_guard_and_svd_evaluation(spark, tmp_path):
+    rows = [(i, f"word{i} common", f"word{i} common other", i / 10) for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, sentence_a string, sentence_b string, score double")
+    got = pipeline.evaluate_branches(df, {"a": plugins.HashedWords(256), "gone": None, "b": plugins.HashedWords(64)}, k=3)
+    assert {r.branch for r in got.collect()} == {"a", "b"} and pipeline.evaluate_branches(df, {"x": None}).count() == 0
+    leak = spark.createDataFrame([("train.txt", "word3  common")], "path string, text string")
+    with pytest.raises(corpus.Leakage, match="train.txt"):
+        pipeline.evaluate_branches(df, {"a": plugins.HashedWords(64)}, [leak])
+    lines = spark.createDataFrame([(d, p, f"topic{d % 3} word{p % 4} again topic{d % 3} here") for d in range(12) for p in range(3)], "doc_id long, pos long, text string")
+    metrics = pipeline.svd_evaluation(lines, {"a": plugins.HashedWords(64)}, n=40, components=4, metrics_path=str(tmp_path / "m.json"))
+    assert {r.metric for r in metrics.collect()} == {"spearman", "retrieval_recall@5", "retrieval_mrr@5"}
+    assert set(json.loads((tmp_path / "m.json").read_text())) == {"spearman_a", "retrieval_recall@5_a", "retrieval_mrr@5_a"}
+
+
+def test_silver_set(spark):
+    lines = spark.createDataFrame([(1, i, f"line {i}") for i in range(12)], "doc_id int, pos long, text string")
+    made, tiers = pipeline.silver_set(lines, [echo("down", "", True), echo("ok", "z")], "en", "ru", spark.createDataFrame([], schemas.CACHE), n=9)
+    assert {r.score: r.n for r in tiers.collect()} == {4.8: 3, 2.0: 3, 0.3: 3} and made.count() == 9
+    failed, tiers = pipeline.silver_set(lines, [echo("down", "", True)], "en", "ru", spark.createDataFrame([], schemas.CACHE), n=9)
+    assert {r.score for r in tiers.collect()} == {2.0, 0.3}
+
+
+def test_seed_items(spark):
+    lines = spark.createDataFrame([(1, i, f"line {i} of {i % 3}") for i in range(30)], "doc_id int, pos long, text string")
+    got = pipeline.seed_items(lines, plugins.HashedWords(64), n=10, n_random=40, max_reuse=2).collect()
+    texts = [t for r in got for t in (r.sentence_a, r.sentence_b)]
+    assert len(got) == 10 and max(texts.count(t) for t in texts) <= 2 and {r.status for r in got} == {"pending"}
+    assert [r.uncertainty for r in got] == sorted((r.uncertainty for r in got), reverse=True)
+    assert pipeline.seed_items(lines.limit(1), plugins.HashedWords(8)).count() == 0
+
+
 def test_triplets_by_method(spark):
     lines = spark.createDataFrame([(d, p, f"topic{d % 3} word{p % 4} again topic{d % 3} here") for d in range(12) for p in range(3)], "doc_id long, pos long, text string")
     items = spark.createDataFrame([(i, f"a{i}", f"b{i}", 0.1, "labeled", None) for i in range(10)], schemas.ITEMS)
