@@ -7,10 +7,15 @@ expected log probabilities (digamma), then the annotators' expected counts from
 with the labels stays distributed; the annotators' table (66 numbers an annotator) is joined, and broadcast
 by Spark only while it is below the session's threshold.
 
-The model gives each annotator a posterior of the accuracy, with an interval; an item's consensus is the
-whole number that its careful annotators (expected accuracy of at least ``CAREFUL``) gave most often.  Where
+The model gives each annotator a posterior of the accuracy, with an interval (beta quantiles); an item's consensus is
+the whole number that its careful annotators gave most often.  Careful are those above the cut that parts the
+expected accuracies into two groups (least variance within them, each annotator by the number of labels); where two
+groups explain no more than a single one would, they are those that are right more often than not.  Where
 none is careful, or numbers tie, the item's class posterior decides.
 
+The iterations end when no expected accuracy changes by ``CHANGE``; whether that was reached within ``ROUNDS`` is
+reported (``converged``), and logged if not.
+
 Defined cases: of several labels of one annotator for one item the latest ``created_at`` counts (null before
 any, then the largest id); if that one is null, off the scale or no half point, the annotator gave none.
 Null items or annotators are left out.  Repeated rows count once.  Items below ``LEAST`` annotators have no
@@ -19,6 +24,8 @@ consensus but still inform the model.  Other columns are ignored; empty tables g
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,8 +36,9 @@ from lexmill.session import materialize, release
 CLASSES = 6  #: 0 .. 5
 SYMBOLS = 11  #: 0, 0.5 .. 5
 LEAST = 3  #: annotators that a consensus needs
-CAREFUL = 0.6  #: least expected accuracy of an annotator whose labels decide
-ROUNDS = 15  #: iterations at most
+ONE_GROUP = 0.5  #: least expected accuracy of a careful annotator where there is one group only
+SPLIT = 0.75  #: least share of the variance that two groups explain; for a single normal group it is 0.64
+ROUNDS = 50  #: iterations at most
 CHANGE = 0.002  #: iterations end when the annotators' expected accuracies change by less
 CLASS_PRIOR = 1.0
 RIGHT_PRIOR, NEAR_PRIOR, OTHER_PRIOR = 2.0, 0.3, 0.15  #: pseudo-counts: right symbol, half a point beside, any other
@@ -82,6 +90,36 @@ def _softmax(logs: list[Column]) -> list[Column]:
     return [s / total for s in shares]
 
 
+def beta_interval(mean: float, sd: float, mass: float = 0.95) -> tuple[float, float]:
+    """The central interval of the beta distribution with this mean and standard deviation."""
+    if not 0 < mean < 1 or sd <= 0:
+        return mean, mean
+    size = max(mean * (1 - mean) / sd**2 - 1, 1e-3)
+    a, b = mean * size, (1 - mean) * size
+    edges = np.linspace(max(0.0, mean - 9 * sd), min(1.0, mean + 9 * sd), 4001)
+    x = (edges[1:] + edges[:-1]) / 2
+    logs = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+    below = np.concatenate([[0], np.cumsum(np.exp(logs - logs.max()))])
+    return tuple(float(q) for q in np.interp([(1 - mass) / 2, (1 + mass) / 2], below / below[-1], edges))
+
+
+def two_groups(values: np.ndarray, weights: np.ndarray) -> float | None:
+    """The middle of the gap between the two groups of values with the least variance within them; None if they explain
+    less than SPLIT of the variance."""
+    order = np.argsort(values)
+    x, w = values[order], weights[order]
+    keep = w > 0
+    x, w = x[keep], w[keep]
+    if len(x) < 2:
+        return None
+    n, s = np.cumsum(w), np.cumsum(w * x)
+    total = (w * (x - s[-1] / n[-1]) ** 2).sum()
+    left, right = s[:-1] / n[:-1], (s[-1] - s[:-1]) / (n[-1] - n[:-1])
+    between = n[:-1] * (n[-1] - n[:-1]) / n[-1] * (left - right) ** 2
+    k = int(between.argmax())
+    return float((x[k] + x[k + 1]) / 2) if total > 0 and between[k] >= SPLIT * total else None
+
+
 def _accuracy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Posterior mean and 95 % interval of an annotator's probability to give the right whole number."""
     prior = _prior()
@@ -94,8 +132,9 @@ def _accuracy(pdf: pd.DataFrame) -> pd.DataFrame:
     mean = right / total
     var = mean * (1 - mean) / (total + 1)
     m, s = float((weight * mean).sum()), float(np.sqrt((weight**2 * var).sum()))
+    low, high = beta_interval(m, s)
     offset = (n * (np.arange(SYMBOLS)[None, :] / 2 - np.arange(CLASSES)[:, None])).sum() / max(n.sum(), 1e-12)
-    return pd.DataFrame({"annotator": pdf["annotator"].iloc[:1].to_numpy(), "labels": [int(round(n.sum()))], "reliability": [m], "low": [max(0.0, m - 1.96 * s)], "high": [min(1.0, m + 1.96 * s)], "offset": [float(offset)]})
+    return pd.DataFrame({"annotator": pdf["annotator"].iloc[:1].to_numpy(), "labels": [int(round(n.sum()))], "reliability": [m], "low": [low], "high": [high], "offset": [float(offset)]})
 
 
 class Consensus:
@@ -103,7 +142,18 @@ class Consensus:
 
     def __init__(self, annotations: DataFrame, rounds: int = ROUNDS) -> None:
         self.labels = materialize(latest_labels(annotations), "labels")
+        self.rounds, self.converged = 0, False
         self.posterior, self.annotators = self._fit(rounds)
+        if not self.converged:
+            logging.getLogger(__name__).warning("the consensus model has not converged in %d rounds", self.rounds)
+        self.careful = self._careful()
+
+    def _careful(self) -> float:
+        """Expected accuracy that parts careful annotators from others; from at most 1001 sums of labels."""
+        place = F.floor(F.col("reliability") * 1000)
+        sums = self.annotators.groupBy(place.alias("place")).agg(F.sum("labels").alias("labels")).orderBy("place").collect()
+        cut = two_groups(np.array([r.place / 1000 for r in sums], float), np.array([r.labels for r in sums], float))
+        return ONE_GROUP if cut is None else cut
 
     def _counts(self, posterior: DataFrame) -> DataFrame:
         joined = self.labels.join(posterior, "item")
@@ -120,6 +170,7 @@ class Consensus:
         schema = f"annotator {kind}, labels long, reliability double, low double, high double, offset double"
         before, old = None, []
         for _ in range(rounds):
+            self.rounds += 1
             counts = materialize(self._counts(posterior), "counts")
             sums = counts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"n{k}") for k in k_]).first()
             nu = CLASS_PRIOR + np.array([sums[f"n{k}"] for k in k_])
@@ -132,15 +183,16 @@ class Consensus:
                 joined = now.select("annotator", "reliability").join(before.select("annotator", F.col("reliability").alias("was")), "annotator")
                 change = joined.agg(F.max(F.abs(F.col("reliability") - F.col("was")))).first()[0]
                 if change is None or change < CHANGE:
+                    self.converged = True
                     break
             # the tables of the iteration before the last are read by nothing any more
             release(*old)
             old, before = [counts, logs] + ([before] if before is not None else []), now
         return materialize(posterior, "posterior"), now
 
-    def items(self, least: int = LEAST, careful: float = CAREFUL) -> DataFrame:
+    def items(self, least: int = LEAST, careful: float | None = None) -> DataFrame:
         """(item, label, posterior, careful, annotators, agreement): the consensus of each item."""
-        rated = self.labels.join(self.annotators.select("annotator", (F.col("reliability") >= careful).alias("careful")), "annotator")
+        rated = self.labels.join(self.annotators.select("annotator", (F.col("reliability") >= (self.careful if careful is None else careful)).alias("careful")), "annotator")
         whole = F.when(F.col("careful") & (F.col("symbol") % 2 == 0), F.col("symbol") / 2)
         votes = rated.groupBy("item").agg(
             *[F.count_if(whole == k).alias(f"c{k}") for k in range(CLASSES)],
@@ -162,7 +214,7 @@ class Consensus:
         sums of squares and counts, so no pairs are made.  ``by`` is 'all' or 'careful'.
         """
         x = F.col("symbol") / 2
-        labels = self.labels if by != "careful" else self.labels.join(self.annotators.filter(F.col("reliability") >= CAREFUL).select("annotator"), "annotator")
+        labels = self.labels if by != "careful" else self.labels.join(self.annotators.filter(F.col("reliability") >= self.careful).select("annotator"), "annotator")
         per = labels.groupBy("item").agg(F.count("*").alias("m"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")).filter("m > 1")
         # sum over ordered pairs of (a - b)^2 = 2 (m ss - s^2)
         sums = per.agg(
@@ -194,7 +246,8 @@ def annotator_report(annotations: DataFrame, annotators: DataFrame) -> DataFrame
 
 
 def agreement_report(annotations: DataFrame) -> DataFrame:
-    """(raters, labels, alpha): Krippendorff's alpha of all annotators and of the careful ones."""
+    """(raters, labels, alpha, cut, rounds, converged): Krippendorff's alpha of all annotators and of the careful ones,
+    the cut between careful ones and others, and how the model's fit ended."""
     model = Consensus(annotations)
-    out = model.krippendorff("all").unionByName(model.krippendorff("careful"))
-    return out.withColumn("alpha", F.round("alpha", 6))
+    out = model.krippendorff("all").unionByName(model.krippendorff("careful")).withColumn("alpha", F.round("alpha", 6))
+    return out.select("raters", "labels", "alpha", F.round(F.lit(model.careful), 4).alias("cut"), F.lit(model.rounds).alias("rounds"), F.lit(model.converged).alias("converged"))

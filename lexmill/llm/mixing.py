@@ -103,7 +103,11 @@ def curriculum(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", **op
 
 
 def share_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(source, target_share, documents, available_tokens, max_repeats, used_tokens, actual_share, reached)."""
+    """(source, target_share, documents, available_tokens, max_repeats, used_tokens, actual_share, deviation, supplied).
+
+    ``supplied`` says whether the source could give the amount asked of it (null where none was asked); ``deviation`` is actual share less target,
+    which is not 0 for supplied sources either when others fall short.
+    """
     rows, plan = mixed(docs, targets, id_col, **options)
     used = rows.groupBy("source").agg(F.sum("n_tokens").alias("used"))
     out = plan.alias("p").join(used.alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")), "left")
@@ -111,5 +115,6 @@ def share_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", **
     actual = F.coalesce(F.try_divide(tokens, F.sum(tokens).over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
     return out.select(
         "p.source", F.col("share").alias("target_share"), "documents", F.col("available").alias("available_tokens"), F.col("repeats").alias("max_repeats"),
-        tokens.alias("used_tokens"), F.round(actual, 6).alias("actual_share"), (F.col("given") >= F.col("demand")).alias("reached"),
+        tokens.alias("used_tokens"), F.round(actual, 6).alias("actual_share"), F.round(actual - F.col("share"), 6).alias("deviation"),
+        F.when(F.col("share") > 0, F.col("given") >= F.col("demand")).alias("supplied"),
     )

@@ -53,9 +53,36 @@ def test_reliability_and_intervals(spark, world):
     assert set(got) == set(range(1, 13)) and got[11].labels == 0 and got[11].reliability is None
     for a in range(1, 7):
         own = [x == truth[i] for _, i, b, x, _ in rows if b == a]
-        assert got[a].reliability >= C.CAREFUL and got[a].low <= np.mean(own) + 0.03 and got[a].high >= np.mean(own) - 0.06
-    assert all(got[a].reliability < C.CAREFUL for a in (7, 8, 9, 10))
+        assert got[a].reliability > 0.7 and 0 < got[a].low < got[a].reliability < got[a].high < 1 and got[a].low <= np.mean(own) + 0.03 and got[a].high >= np.mean(own) - 0.06
+    assert all(got[a].reliability < 0.5 for a in (7, 8, 9, 10))
     assert got[10].offset > 0.5
+    model = C.Consensus(df)
+    assert model.converged and 0.4 < model.careful < 0.8
+    want = {tuple(r) for r in model.items().select("item", "label").collect()}
+    for cut in (0.5, 0.6, 0.7):
+        assert {tuple(r) for r in model.items(careful=cut).select("item", "label").collect()} == want
+    short = C.Consensus(df, rounds=1)
+    assert not short.converged and short.rounds == 1
+    report = C.agreement_report(df).collect()
+    assert {r.raters for r in report} == {"all", "careful"} and all(r.converged and r.rounds > 1 for r in report)
+
+
+def test_two_groups():
+    rng = np.random.default_rng(0)
+    apart = np.concatenate([rng.normal(0.3, 0.05, 10), rng.normal(0.88, 0.02, 20)])
+    assert 0.4 < C.two_groups(apart, np.ones(30)) < 0.83
+    alike = [C.two_groups(rng.normal(0.85, 0.03, 400), np.ones(400)) for _ in range(20)]
+    assert alike == [None] * 20
+    assert C.two_groups(np.array([]), np.array([])) is None and C.two_groups(np.array([0.5, 0.5]), np.ones(2)) is None
+
+
+def test_beta_interval():
+    rng = np.random.default_rng(1)
+    for a, b in ((3.0, 1.0), (40.0, 8.0), (0.6, 2.0), (5000.0, 900.0)):
+        x = rng.beta(a, b, 400_000)
+        sd = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        np.testing.assert_allclose(C.beta_interval(a / (a + b), sd), np.quantile(x, [0.025, 0.975]), atol=0.004)
+    assert C.beta_interval(1.0, 0.0) == (1.0, 1.0)
 
 
 def test_latest_label_counts(spark):

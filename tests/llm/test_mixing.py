@@ -23,11 +23,12 @@ def targets(spark):
 def test_shares_repeats_and_report(spark):
     total = 1000
     report = {r.source: r for r in M.share_report(corpus(spark), targets(spark), total_tokens=total).collect()}
-    assert abs(report["big"].used_tokens - 500) <= 30 and report["big"].reached
-    assert abs(report["small_one"].used_tokens - 300) <= 15 and report["small_one"].reached
-    assert not report["tiny"].reached and report["tiny"].used_tokens == 2 * report["tiny"].available_tokens
-    assert not report["absent"].reached and report["absent"].used_tokens == 0
-    assert report["unlisted"].used_tokens == 0 and report[None].used_tokens == 0
+    assert abs(report["big"].used_tokens - 500) <= 30 and report["big"].supplied
+    assert abs(report["small_one"].used_tokens - 300) <= 15 and report["small_one"].supplied
+    assert not report["tiny"].supplied and report["tiny"].used_tokens == 2 * report["tiny"].available_tokens
+    assert not report["absent"].supplied and report["absent"].used_tokens == 0
+    assert report["unlisted"].used_tokens == 0 and report[None].used_tokens == 0 and report[None].supplied is None
+    assert all(abs(r.deviation - (r.actual_share - r.target_share)) < 2e-6 for r in report.values())
     assert abs(sum(r.actual_share for r in report.values()) - 1) < 1e-5
 
 
