@@ -440,7 +440,7 @@ def tfidf_pair_cosine(spark, d):
 
 @query()
 def lsa_pair_scores(spark, d):
-    return tfidf.lsa_scored_pairs(_docs(spark, d), 300, k=50).withColumn("score", F.round("score", 6))
+    return tfidf.lsa_scored_pairs(_docs(spark, d), 3000, k=100).withColumn("score", F.round("score", 6))
 
 
 # ---- sub-words
@@ -489,10 +489,13 @@ def prompt_format(spark, d):
     )
 
 
-@query(f"SELECT test_id, least(len(list_filter(regexp_split_to_array(sentence_a, '{sql.WS}+'), lambda x: x <> '')), 32)::INT - 1 AS last FROM en_sts_test")
+@query(f"SELECT test_id, len(list_filter(regexp_split_to_array(sentence_a, '{sql.WS}+'), lambda x: x <> ''))::INT - 1 AS last FROM en_sts_test")
 def last_token_index(spark, d):
+    """The last word of each sentence by masks as long as the longest sentence, padded on the right."""
     t = table(spark, d, "en_sts_test")
-    mask = tx.let(tx.word_count("sentence_a"), lambda n: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (i <= n).cast("int")))
+    longest = t.agg(F.max(tx.word_count("sentence_a")).alias("longest"))  # one row
+    t = t.crossJoin(F.broadcast(longest))
+    mask = tx.let(tx.word_count("sentence_a"), lambda n: F.transform(F.sequence(F.lit(1), F.col("longest")), lambda i: (i <= n).cast("int")))
     return vx.last_token_index(t.select("test_id", mask.alias("mask"))).select("test_id", "last")
 
 
@@ -511,7 +514,7 @@ def word_counts(spark, d):
 
 @query()
 def triplets_by_svd(spark, d):
-    return pipeline.triplets_by("svd", _lines(spark, d), None, None, 300, k=30)
+    return pipeline.triplets_by("svd", _lines(spark, d), None, None)
 
 
 @query()
