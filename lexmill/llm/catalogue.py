@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import consensus, garble, leak, lookalike, mixing, neardup, packing, spans
+from lexmill.llm import consensus, garble, leak, lookalike, mixing, neardup, oracles, packing, spans
 from lexmill.session import materialize, spread
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p2_found": oracles.P2_FOUND, "p4_found": oracles.P4_FOUND, "p5_found": oracles.P5_FOUND}
 
 
 def query(f):
