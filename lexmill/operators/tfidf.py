@@ -51,48 +51,48 @@ def components(wanted: int, n_features: int, n_docs: int) -> int:
 
 
 class LatentSpace:
-    """Truncated SVD of TF-IDF by a randomised range finder over a hashed vocabulary of fixed width.
+    """Truncated SVD of TF-IDF by a randomised range finder.
 
-    Terms are hashed to ``features`` columns, so the model has a fixed size whatever the corpus; every pass over
-    the documents returns features x (k + extra) partial sums, which Spark adds up.  Document frequencies are
-    counted over all documents.
+    Weights and document frequencies are exact, by term.  Terms are then hashed with signs to ``features`` columns, so that the
+    model has a fixed size whatever the vocabulary: products of documents keep their expectation, with an error of
+    about 1 / sqrt(features).  Every pass over the documents returns features x (k + extra) partial sums, which Spark adds up.
     """
 
-    def __init__(self, docs: DataFrame, k: int = 100, features: int = 1 << 13, extra: int = 16, power: int = 1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.features, self.id_col, self.text_col = features, id_col, text_col
-        column = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")
-        counts = docs.select(id_col, F.explode(tx.terms(text_col)).alias("term")).select(id_col, column.alias("x")).groupBy(id_col, "x").agg(F.count("*").alias("tf"))
-        rows = counts.groupBy(id_col).agg(F.collect_list(F.struct("x", "tf")).alias("row"))  # at most ``features`` entries
-        self.rows = materialize(rows, "rows")
-        n = docs.count()
-        df = np.zeros(features)
-        for r in self.rows.select(F.explode("row.x").alias("x")).groupBy("x").count().collect():  # at most ``features`` rows
-            df[r.x] = r["count"]
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        self.k = components(k, int((df > 0).sum()), n)
+    def __init__(self, docs: DataFrame, k: int = 100, features: int = 1 << 14, extra: int = 16, power: int = 1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> None:
+        self.features, self.id_col = features, id_col
+        weighted = materialize(weights(docs, id_col, text_col), "weights")
+        key = F.xxhash64("term")
+        place, sign = F.pmod(F.shiftright(key, 1), F.lit(features)).cast("int"), F.when(key.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+        sums = weighted.select(id_col, place.alias("x"), (sign * F.col("weight")).alias("w")).groupBy(id_col, "x").agg(F.sum("w").alias("w"))
+        rows = sums.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("r"))  # at most ``features`` entries
+        self.rows = materialize(rows.select(id_col, F.transform("r", lambda e: e["x"]).alias("x"), F.transform("r", lambda e: e["w"]).alias("w")), "rows")
+        self.k = components(k, weighted.select("term").distinct().count(), docs.count())
         self.vectors = self._fit(extra, power, seed) if self.k >= 1 else np.zeros((features, 0))
 
     def _product(self, q: np.ndarray) -> np.ndarray:
         """A' A q, summed over all documents."""
-        shared = self.rows.sparkSession.sparkContext.broadcast((q, self.idf))
+        shared = self.rows.sparkSession.sparkContext.broadcast(q)
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, idf = shared.value
+            q = shared.value
             total, seen = np.zeros_like(q), False
-            for pdf in batches:
-                for row in pdf["row"]:
-                    x, w = _weighted(row, idf)
-                    total[x] += np.outer(w, w @ q[x])
-                    seen = True
+            for x, w, starts in _blocks(batches):
+                y = np.add.reduceat(w[:, None] * q[x], starts)
+                row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+                order = np.argsort(x, kind="stable")
+                used = x[order]
+                first = np.flatnonzero(np.diff(used, prepend=-1))
+                total[used[first]] += np.add.reduceat((w[:, None] * y[row])[order], first)
+                seen = True
             if seen:
                 used = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
                 yield pd.DataFrame({"x": used, "v": list(total[used])})
 
         width = q.shape[1]
-        sums = self.rows.select("row").mapInPandas(part, "x int, v array<double>")
+        sums = self.rows.select("x", "w").mapInPandas(part, "x int, v array<double>")
         sums = sums.groupBy("x").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v"))
         out = np.zeros_like(q)
-        for r in sums.toLocalIterator():
+        for r in sums.toLocalIterator():  # at most ``features`` rows
             out[r.x] = r.v
         return out
 
@@ -106,29 +106,33 @@ class LatentSpace:
 
     def encode(self) -> DataFrame:
         """(id_col, v): document vectors of length 1 in the latent space."""
-        shared, id_col = self.rows.sparkSession.sparkContext.broadcast((self.vectors, self.idf)), self.id_col
+        shared, id_col = self.rows.sparkSession.sparkContext.broadcast(self.vectors), self.id_col
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            vectors, idf = shared.value
+            vectors = shared.value
             for pdf in batches:
-                out = []
-                for row in pdf["row"]:
-                    x, w = _weighted(row, idf)
-                    v = w @ vectors[x]
-                    n = np.linalg.norm(v)
-                    out.append(v / n if n > 0 else v)
-                yield pd.DataFrame({id_col: pdf[id_col], "v": out})
+                ids, at = pdf[id_col].to_numpy(), 0
+                for x, w, starts in _blocks([pdf]):
+                    v = np.add.reduceat(w[:, None] * vectors[x], starts)
+                    n = np.linalg.norm(v, axis=1, keepdims=True)
+                    yield pd.DataFrame({id_col: ids[at : at + len(starts)], "v": list(np.divide(v, n, out=np.zeros_like(v), where=n > 0))})
+                    at += len(starts)
 
         return self.rows.mapInPandas(run, f"{id_col} {dict(self.rows.dtypes)[id_col]}, v array<double>")
 
 
-def _weighted(row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([e["x"] for e in row], np.int64)
-    w = np.array([e["tf"] for e in row], float) * idf[x]
-    return x, w / np.linalg.norm(w)
+def _blocks(batches: Iterator[pd.DataFrame] | list[pd.DataFrame], size: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns, weights, first entry of each row) of rows (x, w), about ``size`` entries at a time; no row is empty."""
+    for pdf in batches:
+        lengths = pdf["x"].map(len).to_numpy()
+        group = np.cumsum(lengths) // size
+        for g in np.unique(group):
+            part = pdf[group == g]
+            own = lengths[group == g]
+            yield np.concatenate(part["x"].to_list()).astype(np.int64), np.concatenate(part["w"].to_list()), np.cumsum(own) - own
 
 
-def lsa_scored_pairs(docs: DataFrame, n: int, k: int = 100, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", features: int = 1 << 13) -> DataFrame:
+def lsa_scored_pairs(docs: DataFrame, n: int, k: int = 100, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", features: int = 1 << 14) -> DataFrame:
     """(pair, i, j, score): n random pairs of documents, scored 0 to 5 by their latent cosine; none if the texts
     are too few or too alike for a single component."""
     space = LatentSpace(docs, k, seed=seed, id_col=id_col, text_col=text_col, features=features)
