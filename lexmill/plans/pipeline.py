@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill import schemas
 from lexmill.functions import vector as vx
-from lexmill.operators import annotate, corpus, dedup, pairs, plugins, retrieval, sample, tfidf
+from lexmill.operators import annotate, corpus, dedup, pairs, plugins, retrieval, sample, subword, tfidf
 from lexmill.session import materialize
 from lexmill.sources import files
 
@@ -172,6 +172,48 @@ DEFAULT = [
 ]
 
 
+def gate_stage(spark: SparkSession, t: dict[str, DataFrame], most_unknown: float = 0.01) -> DataFrame:
+    """The diagnostics of the tokenizer on the documents; an error if it leaves too much unknown."""
+    diagnostics = materialize(subword.tokenizer_diagnostics(t["documents"]), "diagnostics")
+    subword.require_coverage(diagnostics, most_unknown)
+    return diagnostics
+
+
+def evaluation_stage(spark: SparkSession, t: dict[str, DataFrame], dim: int = 256, k: int = 10) -> DataFrame:
+    sts = t["en_sts_test"].select(F.col("test_id").alias("id"), "sentence_a", "sentence_b", (F.col("score") / 5).alias("score"))
+    return evaluate_branches(sts, {"a": plugins.HashedWords(dim)}, [t["corpus"].select(F.lit("corpus").alias("path"), "text")], k)
+
+
+FULL = [Stage("tokenizer", gate_stage, ("documents",), {"most_unknown": 0.01}), *DEFAULT, Stage("evaluation", evaluation_stage, ("corpus", "en_sts_test"), {"dim": 256, "k": 10})]
+
+
+def main(argv: list[str] | None = None) -> list[str]:
+    """Runs the stages over a folder of tables: ``python -m lexmill.plans.pipeline --tables DIR --work DIR [--export DIR]``."""
+    import argparse
+
+    from lexmill.session import build_session, ship_package
+
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("--tables", required=True, help="folder of documents, en_sts_test, items and annotations")
+    parser.add_argument("--work", required=True, help="folder for the stages' tables and manifests")
+    parser.add_argument("--export", help="folder for corpus lines, triplets and metrics as files")
+    parser.add_argument("--stages", default=",".join(s.name for s in FULL))
+    options = parser.parse_args(argv)
+    spark = SparkSession.getActiveSession() or build_session()
+    ship_package(spark)
+    names = ("documents", "en_sts_test", "items", "annotations")
+    pipe = Pipeline(spark, options.work, {n: f"{options.tables.rstrip('/')}/{n}.parquet" for n in names})
+    tables = pipe.run([s for s in FULL if s.name in options.stages.split(",")])
+    if options.export:
+        if "corpus" in tables:
+            files.write_corpus(tables["corpus"], f"{options.export}/corpus", ("line",))
+        if "triplets" in tables:
+            export_triplets(tables["triplets"], f"{options.export}/triplets")
+        if "evaluation" in tables:
+            files.write_metrics(tables["evaluation"], f"{options.export}/metrics.json")
+    return pipe.ran
+
+
 def triplets_by(method: str, lines: DataFrame, items: DataFrame, annotations: DataFrame, n: int | None = None, seed: int = 1337, paraphrases: DataFrame | None = None, k: int = 100) -> DataFrame:
     """Triplets from silver or human labels: ``svd`` (latent similarity of random pairs of lines),
     ``backtranslation`` (three silver tiers) or ``native`` (mean human labels).  An error if there are none.
@@ -191,3 +233,7 @@ def triplets_by(method: str, lines: DataFrame, items: DataFrame, annotations: Da
     if out.isEmpty():
         raise ValueError(f"labelling by {method} gave no triplets")
     return out
+
+
+if __name__ == "__main__":
+    main()

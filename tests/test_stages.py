@@ -271,6 +271,19 @@ def test_pipeline_reuses_stages(spark, tmp_path):
     assert second.ran == ["triplets"]
 
 
+def test_command_line(spark, tmp_path):
+    import os
+
+    tables = "/root/testdata/sf0.001"
+    if not (os.path.isdir(tables) and os.path.exists(subword.TOKENIZER)):
+        pytest.skip("no test tables or tokenizer files")
+    options = ["--tables", tables, "--work", str(tmp_path / "w"), "--export", str(tmp_path / "out")]
+    assert pipeline.main(options) == ["tokenizer", "corpus", "embeddings", "triplets", "evaluation"]
+    assert set(json.loads((tmp_path / "out" / "metrics.json").read_text())) == {"spearman_a", "retrieval_recall@10_a", "retrieval_mrr@10_a"}
+    assert files.read_triplets(spark, str(tmp_path / "out" / "triplets")).count() > 0 and spark.read.text(str(tmp_path / "out" / "corpus")).count() > 0
+    assert pipeline.main(options) == []
+
+
 def test_evaluate(spark):
     rows = [(i, f"word{i} common", f"word{i} common other", i / 10) for i in range(10)]
     df = spark.createDataFrame(rows, "id int, sentence_a string, sentence_b string, score double")
